@@ -19,9 +19,23 @@ def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.repetition import repetition_rules
+
+    return repetition_rules(_table(spark, sf_dir, "documents"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.packing import pack, tokenizer_spec
+
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_spec("word_bpe_49k.json"), size=4096, end_id=1)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_neardup": op1_neardup,
+        "op3_repetition": op3_repetition,
+        "op4_packing": op4_packing,
     }
 
 
