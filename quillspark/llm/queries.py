@@ -19,6 +19,12 @@ def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.quality import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.repetition import repetition_rules
 
@@ -34,6 +40,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_neardup": op1_neardup,
+        "op2_quality": op2_quality,
         "op3_repetition": op3_repetition,
         "op4_packing": op4_packing,
     }
