@@ -37,12 +37,19 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_spec("word_bpe_49k.json"), size=4096, end_id=1)
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.imatch import edited_fingerprints
+
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_neardup": op1_neardup,
         "op2_quality": op2_quality,
         "op3_repetition": op3_repetition,
         "op4_packing": op4_packing,
+        "op8_imatch": op8_imatch,
     }
 
 
