@@ -43,6 +43,12 @@ def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.pii import personal_data
+
+    return personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "clean_text")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_neardup": op1_neardup,
@@ -50,6 +56,7 @@ def queries() -> dict[str, Query]:
         "op3_repetition": op3_repetition,
         "op4_packing": op4_packing,
         "op8_imatch": op8_imatch,
+        "op10_pii": op10_pii,
     }
 
 
