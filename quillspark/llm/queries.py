@@ -37,12 +37,24 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_spec("word_bpe_49k.json"), size=4096, end_id=1)
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.licences import scan_licences
+
+    return scan_licences(_table(spark, sf_dir, "documents"))
+
+
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.imatch import edited_fingerprints
 
     return edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.preference import format_preferences, preference_pairs
+
+    return format_preferences(preference_pairs(_table(spark, sf_dir, "conversations")))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.pii import personal_data
 
@@ -55,10 +67,14 @@ def queries() -> dict[str, Query]:
         "op2_quality": op2_quality,
         "op3_repetition": op3_repetition,
         "op4_packing": op4_packing,
+        "op5_licences": op5_licences,
         "op8_imatch": op8_imatch,
+        "op9_preference": op9_preference,
         "op10_pii": op10_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from quillspark.llm.preference import PREFERENCE_SQL
+
+    return {"op9_preference": PREFERENCE_SQL}
