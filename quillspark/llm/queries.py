@@ -43,6 +43,12 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(_table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.mixing import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "selected")
+
+
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.imatch import edited_fingerprints
 
@@ -68,6 +74,7 @@ def queries() -> dict[str, Query]:
         "op3_repetition": op3_repetition,
         "op4_packing": op4_packing,
         "op5_licences": op5_licences,
+        "op6_mixing": op6_mixing,
         "op8_imatch": op8_imatch,
         "op9_preference": op9_preference,
         "op10_pii": op10_pii,
