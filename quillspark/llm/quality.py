@@ -142,21 +142,22 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.ListArray.from_arrays(edge, pa.array(term.astype(np.int32))), pa.ListArray.from_arrays(edge, pa.array(weight))], names=["doc_id", "quality", "term", "weight"])
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, most: int = 6000, rank: int = 48, sharp: float = 40.0, threshold: float = 0.3) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, held_out, score, predicted.
+def score_documents(docs: DataFrame, labels: DataFrame, most: int = 6000, rank: int = 48, sharp: float = 40.0, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) with held_out, score and predicted; nothing is shuffled but the labelled sample.
 
     ``labels`` (doc_id, quality) teaches; rows whose crc32(doc_id) mod 5 is 0 are held out and never used. Labelled rows with a
     null label or text teach nothing; with several labels for a doc_id the greatest counts, with several texts the greatest.
     Of the rest, at most ``most`` rows with the smallest hashes of doc_id are the sample (a documented bound of the fit).
     Scores lie in 0 to 1. A text without words (null and empty ones too) scores 0; if nothing is labelled every other text scores
-    1. A null doc_id has a null held_out. Repeated rows give repeated results; other columns are not looked at.
+    1. A null doc_id has a null held_out. Repeated rows give repeated results. Result columns replace columns of the same
+    names; other columns stay. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    crc = lambda c: F.crc32(F.col(c).cast("string"))
+    docs = docs.select(*[c for c in docs.columns if c not in ("held_out", "score", "predicted")])
+    crc = lambda c: F.crc32(F.col(c).cast("long").cast("string"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality is not null").where(crc("doc_id") % 5 != 0)
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    taught = docs.join(F.broadcast(known), "doc_id").where("text is not null").groupBy("doc_id", "quality").agg(F.max("text").alias("text"))
+    taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").where("text is not null").groupBy("doc_id", "quality").agg(F.max("text").alias("text"))
     rows = taught.select("doc_id", "text", "quality").mapInArrow(_bags, "doc_id long, quality int, term array<int>, weight array<float>").orderBy("doc_id").toArrow()  # at most `most` rows of at most TERMS terms
     space = None
     if rows.num_rows:
@@ -167,13 +168,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most: int = 6000, rank: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = shared.value
         for batch in batches:
-            for chunk in chunks(batch.column(1), 1 << 19):
+            for chunk in chunks(batch.column(batch.schema.get_field_index("text")), 1 << 19):
                 if space is None:
                     score = (np.bincount(chunk.words()[2], minlength=chunk.count) > 0).astype(float)
                 else:
                     vectors, some = space.project(chunk)
                     score = np.where(some, np.clip(space.vote(vectors, sharp), 0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.count), pa.array(score, pa.float64())], names=["doc_id", "score"])
+                part = batch.slice(chunk.first, chunk.count)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "score"])
 
-    scored = docs.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", (crc("doc_id") % 5 == 0).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+    scored = docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", score double")
+    return scored.select(*docs.columns, (crc("doc_id") % 5 == 0).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

@@ -20,9 +20,10 @@ def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillspark.llm.quality import quality_scores
+    from quillspark.llm.quality import score_documents
 
-    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_documents(docs, _table(spark, sf_dir, "labels"), threshold=0.3).drop("text")
 
 
 def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
