@@ -50,6 +50,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "selected")
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.substrings import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.imatch import edited_fingerprints
 
@@ -76,6 +82,7 @@ def queries() -> dict[str, Query]:
         "op4_packing": op4_packing,
         "op5_licences": op5_licences,
         "op6_mixing": op6_mixing,
+        "op7_substrings": op7_substrings,
         "op8_imatch": op8_imatch,
         "op9_preference": op9_preference,
         "op10_pii": op10_pii,
