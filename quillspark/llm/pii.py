@@ -92,7 +92,10 @@ def disclosing_terms(docs: DataFrame, spanned: DataFrame, space: Space, lines: i
     stripped = F.aggregate("values", F.lower("line"), lambda a, v: F.replace(a, v, F.lit(" ")))
     pairs = bare.select("row_key", F.xxhash64("line").alias("line"), F.explode("values").alias("entity"), stripped.alias("rest")).select("row_key", "line", "entity", F.explode(_words(F.col("rest"))).alias("term"))
     both = pairs.groupBy("term", "entity").agg(F.countDistinct("row_key").alias("n_both"), F.countDistinct("line").alias("n_lines")).where(F.col("n_lines") >= lines)
-    both = space.save(both, "pairs")
+    entities = held.select("row_key", F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # A term is in at least as many documents as in those that hold values: most pairs can't reach the share, and go.
+    met = held.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_met"))
+    both = space.save(both.join(met, "term").where(F.col("n_both") / F.greatest("n_met", "n_both") >= share).drop("n_met"), "pairs")
     entities = held.select("row_key", F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     buckets = F.broadcast(both.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")).distinct())
     tokens = docs.select(F.explode(_words(F.col("text"))).alias("term")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
