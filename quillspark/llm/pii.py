@@ -33,6 +33,19 @@ PATTERNS = {
 BUCKETS = 1 << 20
 
 
+_SPANS = "array<struct<k:int,start:int,end:int,value:string>>"
+
+
+def _zipped(gaps: Column, values: Column) -> Column:
+    """Array of (gap, value): each value with the text before it. Arrays are evaluated once, not once per element."""
+    return F.filter(F.zip_with(gaps, values, lambda g, v: F.struct(g.alias("gap"), v.alias("value"))), lambda x: x["value"].isNotNull() & x["gap"].isNotNull())
+
+
+def _start() -> Column:
+    """The state of a walk over a text: where it is, and the spans so far."""
+    return F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
+
+
 def _valid(kind: str, m: Column) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     if kind == "ip":
@@ -51,20 +64,18 @@ def _found(kind: str, text: Column) -> Column:
     matches, pieces = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), 0), F.split(text, PATTERNS[kind], -1)
     k = KINDS.index(kind)
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.char_length(F.get(pieces, i))
-        value = F.get(matches, i)
-        end = start + F.char_length(value)
-        here = F.struct(F.lit(k).alias("k"), start.alias("start"), end.alias("end"), value.alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.when(_valid(kind, value), F.array(here)).otherwise(F.array().cast("array<struct<k:int,start:int,end:int,value:string>>"))).alias("spans"))
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.char_length(x["gap"])
+        end = start + F.char_length(x["value"])
+        here = F.struct(F.lit(k).alias("k"), start.alias("start"), end.alias("end"), x["value"].alias("value"))
+        return F.struct(end.alias("at"), F.when(_valid(kind, x["value"]), F.concat(acc["spans"], F.array(here))).otherwise(acc["spans"]).alias("spans"))
 
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<k:int,start:int,end:int,value:string>>").alias("spans"))
-    return F.when(F.size(matches) > 0, F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), none, step, lambda a: a["spans"])).otherwise(none["spans"])
+    return F.aggregate(_zipped(pieces, matches), _start(), step, lambda a: a["spans"])
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
     """Adds ``base``: the spans of all kinds, by kind as listed, then start."""
-    none = F.array().cast("array<struct<k:int,start:int,end:int,value:string>>")
+    none = F.array().cast(_SPANS)
     text = F.col("text")
     # Cheap conditions that every match meets, so that most texts aren't searched for a kind.
     may = {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"(?:[0-9][\x20-]?){16}"), "phone": text.rlike(r"\+[0-9]")}
@@ -133,19 +144,16 @@ def personal_data(docs: DataFrame, lines: int = 5, share: float = 0.9, bits: flo
     rest = tagged.where("near is null").withColumn("terms", none)
     both = some.select("doc_id", "text", "base", "terms", *extra).unionByName(rest.select("doc_id", "text", "base", "terms", *extra))
 
-    # Places of the terms: pieces of the text between runs of letters, as for the patterns.
-    letters, gaps = F.split("text", r"[^\p{L}]+", -1), F.split("text", r"\p{L}+", -1)
-    lead = F.when(F.col("text").rlike(r"^\p{L}"), 0).otherwise(1)
+    # Places of the terms: runs of letters, with what stands before each.
+    gaps, letters = F.split("text", r"\p{L}+", -1), F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0)
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.char_length(F.get(gaps, i))
-        value = F.get(letters, i + lead)
-        end = start + F.char_length(value)
-        here = F.struct(F.lit(len(KINDS)).alias("k"), start.alias("start"), end.alias("end"), value.alias("value"))
-        return F.struct(end.alias("at"), F.when(F.array_contains(F.col("terms"), F.lower(value)), F.concat(acc["spans"], F.array(here))).otherwise(acc["spans"]).alias("spans"))
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.char_length(x["gap"])
+        end = start + F.char_length(x["value"])
+        here = F.struct(F.lit(len(KINDS)).alias("k"), start.alias("start"), end.alias("end"), x["value"].alias("value"))
+        return F.struct(end.alias("at"), F.when(F.array_contains(F.col("terms"), F.lower(x["value"])), F.concat(acc["spans"], F.array(here))).otherwise(acc["spans"]).alias("spans"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<k:int,start:int,end:int,value:string>>").alias("spans"))
-    added = F.when((F.size("terms") > 0) & (F.size(gaps) > 1), F.aggregate(F.sequence(F.lit(0), F.size(gaps) - 2), start, step, lambda a: a["spans"])).otherwise(start["spans"])
+    added = F.when(F.size("terms") > 0, F.aggregate(_zipped(gaps, letters), _start(), step, lambda a: a["spans"])).otherwise(F.array().cast(_SPANS))
     both = both.withColumn("added", added).withColumn("all", F.concat("base", "added"))
     names = F.array(*[F.lit(k) for k in (*KINDS, "term")])
     listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.get(names, s["k"]), s["start"], s["end"])), ",")
