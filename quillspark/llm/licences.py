@@ -161,7 +161,8 @@ def scan_licences(docs: DataFrame, agree: float = 0.6) -> DataFrame:
     cut = math.log(threshold / (1 - threshold))
     known = best.where(F.col("b.z") >= cut)
     templates = spark.createDataFrame([(f, _grams_py(t)) for f, ts in TEMPLATES.items() for t in ts], "family string, grams array<string>").groupBy("family").agg(F.collect_list("grams").alias("ts"))
-    named = known.select("row_key", "nth", F.col("b.family").alias("family")).join(flat.select("row_key", F.col("l.nth").alias("nth"), _grams(F.col("l.line")).alias("own")), ["row_key", "nth"]).join(F.broadcast(templates), "family")
+    named = known.select("row_key", "nth", F.col("b.family").alias("family")).join(flat.select("row_key", F.col("l.nth").alias("nth"), F.col("l.line").alias("line")), ["row_key", "nth"])
+    named = named.withColumn("own", _grams(F.col("line"))).join(F.broadcast(templates), "family")
     sure = F.exists("ts", lambda t: F.size(F.array_intersect(t, F.col("own"))) >= agree * F.size(t))
     named = named.select("row_key", "nth", "family", F.when(sure, 1).otherwise(0).alias("sure"))
     unknown = best.where(F.col("b.z") < cut).groupBy("row_key").agg(F.count("*").alias("n_unknown"))
