@@ -7,9 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from quillspark.errors import EngineError
 from quillspark.functions.text import hamming
+from quillspark.storage import written
 
 _U = np.uint64
 # Fixed values of policy 1: FNV-1a 64 and the finaliser of MurmurHash3.
@@ -78,9 +80,8 @@ def duplicates(candidates: DataFrame, distance: int = 3) -> DataFrame:
     fingerprint it is 'no_features'. Equal fingerprints are decided once, by their first document: the others are duplicates of whatever decides it. The order
     is resolved in rounds: a fingerprint is kept once all its earlier neighbours are out, and out once one of them is kept.
     """
-    from pyspark.sql.window import Window
-
     spark: SparkSession = candidates.sparkSession
+    candidates = written(spark, candidates)
     ranked = candidates.withColumn("place", F.struct("input_path", "record_ordinal", "doc_id"))
     heads = ranked.where("simhash is not null").groupBy("simhash").agg(F.min("place").alias("place"))
     # Ranks of distinct fingerprints: inside each path, after the paths before.
@@ -89,12 +90,12 @@ def duplicates(candidates: DataFrame, distance: int = 3) -> DataFrame:
     paths = paths.select(F.col("input_path").alias("path"), before.alias("before"))
     inner = F.row_number().over(Window.partitionBy("place.input_path").orderBy("place"))
     heads = heads.withColumn("path", F.col("place.input_path")).withColumn("k", inner).join(paths, "path").select("simhash", "place", (F.col("before") + F.col("k")).cast("long").alias("ordinal"))
-    heads = _written(spark, heads)
-    edges = _written(spark, near_pairs(heads.select("ordinal", "simhash"), distance))
+    heads = written(spark, heads)
+    edges = written(spark, near_pairs(heads.select("ordinal", "simhash"), distance))
     state = heads.select("ordinal", F.lit(None).cast("boolean").alias("kept"))
     while True:
         seen = edges.join(state.select(F.col("ordinal").alias("a"), "kept"), "a").groupBy(F.col("b").alias("ordinal")).agg(F.bool_or("kept").alias("beaten"), F.bool_or(F.col("kept").isNull()).alias("waits"))
-        state = _written(spark, state.join(seen, "ordinal", "left").select("ordinal", F.coalesce("kept", F.when(F.coalesce("beaten", F.lit(False)), False).when(~F.coalesce("waits", F.lit(False)), True)).alias("kept")))
+        state = written(spark, state.join(seen, "ordinal", "left").select("ordinal", F.coalesce("kept", F.when(F.coalesce("beaten", F.lit(False)), False).when(~F.coalesce("waits", F.lit(False)), True)).alias("kept")))
         if not state.where("kept is null").limit(1).count():
             break
     kept = state.where("kept").select("ordinal")
@@ -115,10 +116,3 @@ def duplicates(candidates: DataFrame, distance: int = 3) -> DataFrame:
 def decision_counts(decisions: DataFrame) -> DataFrame:
     """(disposition, documents)."""
     return decisions.groupBy("disposition").agg(F.count("*").alias("documents"))
-
-
-def _written(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared checkpoint folder."""
-    from quillspark.storage import checkpointed
-
-    return checkpointed(spark, df)

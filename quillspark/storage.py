@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint, below ``spark.checkpoint.dir`` or, where that is unset, a new temporary folder."""
-    shared_folder(spark)
-    return df.checkpoint()
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, set to a new temporary one where it is unset."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-"))
     return sc._jsc.sc().getCheckpointDir().get()
+
+
+def written(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut: a table written to the shared folder, which any executor can read again."""
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
