@@ -22,8 +22,18 @@ FIELDS = (*BODIES, "title", "link", "author", CREATOR, "pubDate")
 
 
 def raw_files(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """(input_path, kind, bytes) of the files under a path; paths lose scheme and leading slash."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_replace("path", "^[a-z]+:/*", "").alias("input_path"), F.lit(kind).alias("kind"), F.col("content").alias("bytes"))
+    """(input_path, kind, bytes) of the files under a path; paths lose scheme and leading slash. Spark's reader leaves empty files out, so they are listed."""
+    bare = F.regexp_replace("path", "^[a-z]+:/*|^/+", "")
+    full = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(bare.alias("input_path"), F.lit(kind).alias("kind"), F.col("content").alias("bytes"))
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+    empty = []
+    while found.hasNext():
+        f = found.next()
+        if f.getLen() == 0:
+            empty.append((f.getPath().toString(), bytearray()))
+    none = spark.createDataFrame(empty, "path string, bytes binary").select(bare.alias("input_path"), F.lit(kind).alias("kind"), "bytes")
+    return full.where(F.octet_length("bytes") > 0).unionByName(none)
 
 
 def read_text(files: DataFrame) -> DataFrame:
