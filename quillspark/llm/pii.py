@@ -9,12 +9,14 @@ n(t) and n(e) are document counts over all documents, N their number. t disclose
 lines, if P(e|t) = n(t,e)/n(t) is at least ``share``, and if the pointwise information log2(P(e|t) / P(e)) is at least ``bits``.
 Such terms are generalised to ``[TERM]``, or removed, wherever they stand in any document.
 
-Term counts are combined per task before they are shuffled. A set of 2**20 buckets, whose size is fixed, is all that is broadcast to
-thin out terms and documents; exact joins follow.
+Term counts are combined per task before they are shuffled. All that every task gets is a bitmap of 2**20 buckets, whose size is fixed; it
+thins out the words of each text before they become rows, and texts before they are joined. Exact joins follow.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -84,6 +86,21 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return docs.withColumn("base", F.concat(*[f"_{kind}" for kind in KINDS])).drop(*[f"_{kind}" for kind in KINDS])
 
 
+def _bitmap(keys: DataFrame) -> Column:
+    """The buckets of ``keys`` (key long), as a constant of 64-bit words; at most BUCKETS / 64 rows come to the driver."""
+    bucket = F.pmod("key", F.lit(BUCKETS))
+    bits = keys.groupBy(F.floor(bucket / 64).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(key, {BUCKETS}) % 64 as int))")).alias("bits")).collect()
+    words = [0] * (BUCKETS // 64)
+    for r in bits:
+        words[r["word"]] = r["bits"]
+    return F.from_json(F.lit(json.dumps(words)), "array<bigint>")
+
+
+def _in(bitmap: Column, key: Column) -> Column:
+    bucket = F.pmod(key, F.lit(BUCKETS))
+    return F.getbit(F.get(bitmap, F.floor(bucket / 64).cast("int")), (bucket % 64).cast("int")) == 1
+
+
 def _words(text: Column) -> Column:
     """Distinct terms: runs of letters, at least three, in lower case."""
     return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda w: F.char_length(w) >= 3)
@@ -108,9 +125,9 @@ def disclosing_terms(docs: DataFrame, spanned: DataFrame, space: Space, lines: i
     met = held.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_met"))
     both = space.save(both.join(met, "term").where(F.col("n_both") / F.greatest("n_met", "n_both") >= share).drop("n_met"), "pairs")
     entities = held.select("row_key", F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    buckets = F.broadcast(both.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")).distinct())
-    tokens = docs.select(F.explode(_words(F.col("text"))).alias("term")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-    counts = tokens.join(buckets, "bucket", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    bitmap = _bitmap(both.select(F.xxhash64("term").alias("key")))
+    some = F.filter(_words(F.col("text")), lambda w: _in(bitmap, F.xxhash64(w)))
+    counts = docs.select(F.explode(some).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     told = both.join(counts, "term").join(entities, "entity")
     p = F.col("n_both") / F.greatest("n_term", "n_both")
     return told.where((p >= share) & (F.log2(p * n_docs / F.col("n_entity")) >= bits)).select("term").distinct()
@@ -133,15 +150,14 @@ def personal_data(docs: DataFrame, lines: int = 5, share: float = 0.9, bits: flo
     found = space.save(disclosing_terms(docs, spanned.select("doc_id", "row_key", "text", "base").dropDuplicates(["row_key"]), space, lines, share, bits), "terms")
 
     # Which texts hold a disclosing term, and which ones.
-    buckets = F.broadcast(found.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")).distinct())
-    tokens = docs.select("row_key", F.explode(_words(F.col("text"))).alias("term")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-    hits = tokens.join(buckets, "bucket", "left_semi").join(found, "term", "left_semi").groupBy("row_key").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    bitmap = _bitmap(found.select(F.xxhash64("term").alias("key")))
+    some = F.filter(_words(F.col("text")), lambda w: _in(bitmap, F.xxhash64(w)))
+    hits = docs.select("row_key", F.explode(some).alias("term")).join(found, "term", "left_semi").groupBy("row_key").agg(F.array_sort(F.collect_set("term")).alias("terms"))
     hits = space.save(hits, "hits")
-    near = F.broadcast(hits.select(F.pmod("row_key", F.lit(BUCKETS)).cast("int").alias("bucket")).distinct())
-    tagged = spanned.withColumn("bucket", F.pmod("row_key", F.lit(BUCKETS)).cast("int")).join(near.withColumn("near", F.lit(True)), "bucket", "left").drop("bucket")
+    near = _in(_bitmap(hits.select(F.col("row_key").alias("key"))), F.col("row_key"))
     none = F.array().cast("array<string>")
-    some = tagged.where("near").join(hits, "row_key", "left").withColumn("terms", F.coalesce("terms", none))
-    rest = tagged.where("near is null").withColumn("terms", none)
+    some = spanned.where(near).join(hits, "row_key", "left").withColumn("terms", F.coalesce("terms", none))
+    rest = spanned.where(~near).withColumn("terms", none)
     both = some.select("doc_id", "text", "base", "terms", *extra).unionByName(rest.select("doc_id", "text", "base", "terms", *extra))
 
     # Places of the terms: runs of letters, with what stands before each.
