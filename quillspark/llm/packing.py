@@ -207,7 +207,7 @@ def plan(histogram: dict[int, int], size: int, groups: int = 24, small: int | No
     return _best_fit(out, left, size)
 
 
-def _configure(sizes: list[int], demand: list[int], room: int, steps: int) -> list[tuple[int, list[int]]]:
+def _configure(sizes: list[int], demand: list[int], room: int, steps: int, full: float = 0.995) -> list[tuple[int, list[int]]]:
     """Configurations of few sizes (indices, with repeats) and how often to use each, never beyond the demand."""
     best: dict[tuple[int, ...], float] = {}
     unit = max(1, room // 512)
@@ -237,9 +237,11 @@ def _configure(sizes: list[int], demand: list[int], room: int, steps: int) -> li
         key = tuple(sorted(config))
         best[key] = best.get(key, 0) + amount
         covered += q * amount
+    # Only configurations that leave little room are worth their rounding; what they don't use is packed one by one.
     rest = list(demand)
     out = []
-    for key, amount in sorted(best.items(), key=lambda x: -x[1] * sum(sizes[g] for g in x[0])):
+    good = {key: amount for key, amount in best.items() if sum(sizes[g] for g in key) >= full * room}
+    for key, amount in sorted(good.items(), key=lambda x: -sum(sizes[g] for g in x[0])):
         q = {g: key.count(g) for g in set(key)}
         times = min([int(amount), *(rest[g] // n for g, n in q.items())])
         if times > 0:
