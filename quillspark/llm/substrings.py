@@ -35,9 +35,10 @@ from quillspark.llm._space import Space, free_shuffles
 
 _U = np.uint64
 #: Columns of packed entries: trigger hash, phrase hash, document, number of its text, start of its first string, number of strings, distance to the trigger.
-_ENTRY = (("k", "<u8"), ("e", "<u8"), ("doc", "<i8"), ("sub", "<u4"), ("lo", "<u4"), ("n", "u1"), ("off", "u1"))
-_SEEK = (("k", "<u8"), ("doc", "<i8"), ("sub", "<u4"), ("lo", "<u4"), ("n", "u1"), ("off", "u1"))
-_COVER = (("doc", "<i8"), ("sub", "<u4"), ("lo", "<u4"), ("size", "<u4"))
+#: Type and number of bytes that are kept: 48 bits of each hash are enough, as buckets, places and the bytes themselves tell the rest apart.
+_ENTRY = (("k", "<u8", 6), ("e", "<u8", 6), ("doc", "<i8", 8), ("sub", "<u4", 4), ("lo", "<u4", 4), ("n", "u1", 1), ("off", "u1", 1))
+_SEEK = (("k", "<u8", 6), ("doc", "<i8", 8), ("sub", "<u4", 4), ("lo", "<u4", 4), ("n", "u1", 1), ("off", "u1", 1))
+_COVER = (("doc", "<i8", 8), ("sub", "<u4", 4), ("lo", "<u4", 4), ("size", "<u4", 4))
 _ROWS = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("bucket", T.LongType()), T.StructField("data", T.BinaryType())])
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -45,25 +46,28 @@ Columns = dict[str, np.ndarray]
 
 
 def _pack(cols: Columns, layout: tuple, at: np.ndarray) -> bytes:
-    return b"".join(np.ascontiguousarray(cols[n][at].astype(t)).tobytes() for n, t in layout)
+    """Columns byte by byte (all first bytes, all second ones, ...), so that high zero bytes compress to nothing."""
+    return b"".join(np.ascontiguousarray(cols[n][at].astype(t)).view(np.uint8).reshape(len(at), -1)[:, :kept].T.tobytes() for n, t, kept in layout)
 
 
 def _unpack(blobs: list[bytes], layout: tuple) -> Columns:
-    width = sum(np.dtype(t).itemsize for _, t in layout)
-    out: dict[str, list[np.ndarray]] = {n: [] for n, _ in layout}
+    width = sum(kept for *_t, kept in layout)
+    out: dict[str, list[np.ndarray]] = {n: [] for n, *_t in layout}
     for b in blobs:
         count, at = len(b) // width, 0
-        for n, t in layout:
-            out[n].append(np.frombuffer(b, t, count, at))
-            at += count * np.dtype(t).itemsize
-    return {n: np.concatenate(v) if v else np.zeros(0, t) for (n, t), v in zip(layout, out.values(), strict=True)}
+        for n, t, kept in layout:
+            full = np.zeros((count, np.dtype(t).itemsize), np.uint8)
+            full[:, :kept] = np.frombuffer(b, np.uint8, count * kept, at).reshape(kept, count).T
+            out[n].append(full.view(t).reshape(count))
+            at += count * kept
+    return {n: np.concatenate(v) if v else np.zeros(0, t) for (n, t, _k), v in zip(layout, out.values(), strict=True)}
 
 
 def _deal(kind: int, cols: Columns, layout: tuple, bucket: np.ndarray) -> pa.RecordBatch | None:
     """Entries packed by bucket, one row each."""
     if not len(bucket):
         return None
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((cols["lo"], cols["doc"], bucket))
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     parts = np.split(order, cuts)
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), kind, np.int32)), pa.array([int(bucket[p[0]]) for p in parts], pa.int64()), pa.array([_pack(cols, layout, p) for p in parts], pa.binary())], names=_ROWS.names)
@@ -127,7 +131,7 @@ def _parser(span: int, key: int, buckets: int, doc_buckets: int, flush: int):
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            c = {n: np.concatenate([h[n] for h in held]) for n, _ in _ENTRY}
+            c = {n: np.concatenate([h[n] for h in held]) for n, *_t in _ENTRY}
             order = np.lexsort((c["doc"], c["e"], c["k"]))
             c = {n: v[order] for n, v in c.items()}
             new = _runs(c["k"], c["e"])
@@ -173,7 +177,7 @@ def _dictionary(span: int, doc_buckets: int):
             start = np.flatnonzero(of_k)
             docs = np.maximum.reduceat(first, start) > np.minimum.reduceat(first, start)
             seek = np.flatnonzero(~full & (phrases > 1)[group] & docs[group])
-            some = {n: c[n][seek] for n, _ in _SEEK}
+            some = {n: c[n][seek] for n, *_t in _SEEK}
             for b in (_deal(1, covers, _COVER, _doc_bucket(covers["doc"], doc_buckets)), _deal(2, some, _SEEK, _doc_bucket(some["doc"], doc_buckets))):
                 if b:
                     yield b
@@ -259,7 +263,7 @@ def shared_strings(c: Columns, ctx: np.ndarray, span: int, key: int) -> Columns:
 
 def _orderer(span: int, key: int, doc_buckets: int):
     width = 2 * span - key
-    each = sum(np.dtype(t).itemsize for _, t in _SEEK)
+    each = sum(kept for *_t, kept in _SEEK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, "bucket"):
@@ -335,8 +339,9 @@ def remove_repeats(docs: DataFrame, span: int = 50, key: int = 20, flush: int =
     total = docs.agg(F.sum(F.octet_length("text").cast("long")), F.count("doc_id"), F.countDistinct("doc_id")).first()
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = total[0] or 0
-    buckets = max(4 * tasks, size // (16 << 20))
-    doc_buckets = max(4 * tasks, size // (8 << 20))
+    # Every task deals to every bucket, so buckets are no more than parallel work and memory ask for.
+    buckets = max(tasks, size // (16 << 20))
+    doc_buckets = min(max(16, size // (4 << 20)), max(4 * tasks, size // (64 << 20)))
     docs = docs.withColumn("doc", F.coalesce("doc_id", F.lit(0))).withColumn("sub", F.lit(0))
     if total[1] != total[2]:  # some doc_id has several rows: number its texts
         docs = docs.withColumn("sub", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("text")) - 1)
