@@ -114,7 +114,7 @@ def test_rake():
 
 
 def test_mixing(spark, none):
-    rows = [(i, "alpha beta gamma " * (1 + i % 5), ["en", "de", None][i % 3], ["s1", "s2"][int(i % 10 == 0)], 1) for i in range(3000)] + [(5000, None, None, None, None), (None, "x y", "en", "s1", 2)]
+    rows = [(i, "alpha beta gamma " * (1 + i % 5), ["en", "de", None][i % 3], ["s1", "s2"][int(i % 4 == 0)], 1) for i in range(3000)] + [(5000, None, None, None, None), (None, "x y", "en", "s1", 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, weight int")
     got = mix_sources(df, targets={"source": {"s1": 0.8, "s2": 0.2}}, keep=0.4, topics=2).toPandas()
     assert len(got) == len(rows)
