@@ -5,8 +5,9 @@ text is split at the matches; sums of the pieces' lengths give the places, in co
 
 *Disclosure.* The corpus tells how strongly a term reveals an entity. Contexts are the lines that hold a base value. For a term t
 (a run of letters) and an entity e (a base value, lower-cased), n(t,e) is the number of documents in which t stands on a line with e,
-n(t) and n(e) are document counts over all documents, N their number. t discloses e if it stands with e on at least ``lines`` different
-lines, if P(e|t) = n(t,e)/n(t) is at least ``share``, and if the pointwise information log2(P(e|t) / P(e)) is at least ``bits``.
+n(t) and n(e) are document counts over all documents, N their number; rows that repeat a doc_id and text are one document. t discloses e if it
+stands with e on lines of at least ``lines`` documents, the same line in two documents counting twice, if P(e|t) = n(t,e)/n(t) is at least
+``share``, and if the pointwise information log2(P(e|t) / P(e)) is at least ``bits``. One document is enough by default: share and bits decide.
 Such terms are generalised to ``[TERM]``, or removed, wherever they stand in any document.
 
 Term counts are combined per task before they are shuffled. All that every task gets is a bitmap of 2**20 buckets, whose size is fixed; it
@@ -102,14 +103,14 @@ def _in(bitmap: Column, key: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    """Distinct terms: runs of letters, at least three, in lower case."""
-    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda w: F.char_length(w) >= 3)
+    """Distinct terms: runs of letters, at least two unless they are Han, in lower case."""
+    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda w: (F.char_length(w) >= 2) | w.rlike(r"^\p{IsHan}"))
 
 
 def disclosing_terms(docs: DataFrame, spanned: DataFrame, space: Space, lines: int, share: float, bits: float) -> DataFrame:
     """(term): the terms that disclose an entity."""
-    n_docs = docs.count()
-    held = spanned.where(F.size("base") > 0).select("doc_id", "row_key", "text", "base")
+    n_docs = docs.select("row_key").distinct().count()
+    held = spanned.where(F.size("base") > 0).select("doc_id", "row_key", "text", "base").dropDuplicates(["row_key"])
     # Lines of the texts with spans, and where they begin.
     cut = held.select("row_key", "base", F.posexplode(F.split("text", "\n", -1)).alias("nth", "line"))
     begin = F.coalesce(F.sum(F.char_length("line") + 1).over(Window.partitionBy("row_key").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -118,22 +119,21 @@ def disclosing_terms(docs: DataFrame, spanned: DataFrame, space: Space, lines: i
     bare = own.select("row_key", "line", F.array_distinct(F.transform("own", lambda s: F.lower(s["value"]))).alias("values"))
     # The values themselves are no terms.
     stripped = F.aggregate("values", F.lower("line"), lambda a, v: F.replace(a, v, F.lit(" ")))
-    pairs = bare.select("row_key", F.xxhash64("line").alias("line"), F.explode("values").alias("entity"), stripped.alias("rest")).select("row_key", "line", "entity", F.explode(_words(F.col("rest"))).alias("term"))
-    both = pairs.groupBy("term", "entity").agg(F.countDistinct("row_key").alias("n_both"), F.countDistinct("line").alias("n_lines")).where(F.col("n_lines") >= lines)
-    entities = held.select("row_key", F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    pairs = bare.select("row_key", F.explode("values").alias("entity"), stripped.alias("rest")).select("row_key", "entity", F.explode(_words(F.col("rest"))).alias("term"))
+    both = pairs.groupBy("term", "entity").agg(F.countDistinct("row_key").alias("n_both")).where(F.col("n_both") >= lines)
     # A term is in at least as many documents as in those that hold values: most pairs can't reach the share, and go.
     met = held.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_met"))
     both = space.save(both.join(met, "term").where(F.col("n_both") / F.greatest("n_met", "n_both") >= share).drop("n_met"), "pairs")
     entities = held.select("row_key", F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     bitmap = _bitmap(both.select(F.xxhash64("term").alias("key")))
     some = F.filter(_words(F.col("text")), lambda w: _in(bitmap, F.xxhash64(w)))
-    counts = docs.select(F.explode(some).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    counts = docs.select("row_key", some.alias("some")).where(F.size("some") > 0).dropDuplicates(["row_key"]).select(F.explode("some").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     told = both.join(counts, "term").join(entities, "entity")
     p = F.col("n_both") / F.greatest("n_term", "n_both")
     return told.where((p >= share) & (F.log2(p * n_docs / F.col("n_entity")) >= bits)).select("term").distinct()
 
 
-def personal_data(docs: DataFrame, lines: int = 5, share: float = 0.9, bits: float = 6.0, mode: str = "generalise") -> DataFrame:
+def personal_data(docs: DataFrame, lines: int = 1, share: float = 0.9, bits: float = 6.0, mode: str = "generalise") -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, text, clean_text.
 
     ``spans`` lists kind:start:end (code points, end exclusive), the four kinds first, then the added kind ``term``; ``clean_text`` has
@@ -147,7 +147,7 @@ def personal_data(docs: DataFrame, lines: int = 5, share: float = 0.9, bits: flo
     extra = [c for c in docs.columns if c not in ("doc_id", "text", "row_key", "base", "terms", *(f"n_{k}" for k in KINDS), "n_term", "base_sha256", "spans", "clean_text")]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row_key"), *extra)
     spanned = base_spans(docs)
-    found = space.save(disclosing_terms(docs, spanned.select("doc_id", "row_key", "text", "base").dropDuplicates(["row_key"]), space, lines, share, bits), "terms")
+    found = space.save(disclosing_terms(docs, spanned.select("doc_id", "row_key", "text", "base"), space, lines, share, bits), "terms")
 
     # Which texts hold a disclosing term, and which ones.
     bitmap = _bitmap(found.select(F.xxhash64("term").alias("key")))

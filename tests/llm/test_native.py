@@ -72,6 +72,18 @@ def test_disclosing_terms(spark, mode, mark):
     assert all(got[100 + j]["spans"] == "" for j in range(300))
 
 
+def test_disclosing_terms_of_rare_values(spark):
+    """Values of one document, one line in many documents, short names, and rows that are repeated."""
+    rows = [(1, "intro\nquorvax wrote as one@x.io of the day")] + [(10 + j, f"number {j}\nli zarquon, the@sign.ature") for j in range(4)] + [(20, "ask li of number")]
+    rows += [(30, "blyth of the day +1 (988) 555-2485")] * 2 + [(100 + j, f"the day of number {j} and as one wrote intro to ask") for j in range(700)]
+    got = {r["doc_id"]: r for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["clean_text"] == "intro\n[TERM] wrote as [EMAIL] of the day"
+    assert all(got[10 + j]["clean_text"] == f"number {j}\nli [TERM], [EMAIL]" for j in range(4)) and got[20]["n_term"] == 0
+    assert got[30]["clean_text"] == "[TERM] of the day [PHONE]" and all(got[100 + j]["spans"] == "" for j in range(700))
+    short = {r["doc_id"]: r for r in personal_data(spark.createDataFrame([r for r in rows if r[0] != 20], "doc_id long, text string")).collect()}
+    assert all(short[10 + j]["clean_text"] == f"number {j}\n[TERM] [TERM], [EMAIL]" for j in range(4))
+
+
 def test_licences(spark, none):
     rows = [
         (1, "intro\nReleased under the MIT License.\nmore"), (2, "Licensed under the Apache License, Version 2.0."), (3, "This work is licensed under the GNU General Public License, version 3.\nLicensed under CC BY-NC 4.0."),
