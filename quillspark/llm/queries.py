@@ -29,7 +29,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.repetition import repetition_rules
 
-    return repetition_rules(_table(spark, sf_dir, "documents"))
+    # Half of the words, the default, is a limit that the base rule implies.
+    return repetition_rules(_table(spark, sf_dir, "documents"), covered=0.2)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

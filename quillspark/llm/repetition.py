@@ -162,6 +162,7 @@ def repetition_rules(docs: DataFrame, least: int = 10, covered: float = 0.5, lon
     them in repeated runs of three), kept, n_covered_words, longest_repeat (words), n_repeats (maximal repeated substrings
     begun in suffix order). A null text is an empty one: no words, so base_failed. Repeated rows give repeated results; other
     columns are not looked at; an empty table gives an empty result. Texts are read whole, of any length.
+    Covered words lie in repeated runs of three, so ``covered`` decides nothing that base_failed doesn't unless it is below 0.5.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,6 +7,7 @@ import numpy as np
 from llm_texts import prose
 
 from quillspark.llm.quality import score_documents
+from quillspark.llm.queries import op3_repetition
 from quillspark.llm.repetition import common_prefixes, repetition_rules, suffix_array
 
 
@@ -49,6 +50,18 @@ def test_repetition(docs, rows):
             assert r["kept"] == (not r["base_failed"] and 2 * r["n_covered_words"] <= n and r["longest_repeat"] <= 60)
 
 
+def test_repetition_query(spark, tmp_path):
+    """Each limit of the query alone rejects a text that the base rule keeps."""
+    word = iter(range(100_000))
+    fresh = lambda n: [f"w{next(word)}" for _ in range(n)]
+    passage, long_ = fresh(50), fresh(61)
+    texts = [fresh(550) + sum((passage + [f"z{k}"] for k in range(9)), []), fresh(900) + long_ + ["zz"] + long_, fresh(900) + passage + ["zz"] + passage]
+    spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op3_repetition(spark, str(tmp_path)).collect()}
+    assert [got[i]["base_failed"] for i in range(3)] == [False] * 3 and [got[i]["kept"] for i in range(3)] == [False, False, True]
+    assert got[0]["longest_repeat"] == 50 and got[1]["n_covered_words"] == 122
+
+
 def test_suffix_array():
     rng = np.random.default_rng(2)
     for n, k in ((1, 1), (40, 2), (60, 3), (50, 1)):
