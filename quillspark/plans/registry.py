@@ -201,8 +201,8 @@ def normalized_weights(spark, sf_dir):
 
 # --- search ---
 
-def _candidates(spark, sf_dir, mode):
-    known = search.known_terms(search.query_terms(_fixed(spark)), index.lexicon(_tf(spark, sf_dir)).withColumn("df", F.lit(0)).withColumn("idf", F.lit(0.0)))
+def _candidates(spark, sf_dir, mode, queries=None):
+    known = search.known_terms(search.query_terms(_fixed(spark) if queries is None else queries), index.lexicon(_tf(spark, sf_dir)).withColumn("df", F.lit(0)).withColumn("idf", F.lit(0.0)))
     posts = _tf(spark, sf_dir).join(index.lexicon(_tf(spark, sf_dir)), "term")
     return search.candidates(known, posts, mode)
 
@@ -235,6 +235,35 @@ def search_batch_topk(spark, sf_dir):
     return _search(spark, sf_dir, _benchmark(spark, sf_dir), "or", 10)
 
 
+# The same over a batch that grows with the table: every hundredth document is a query against all of them.
+
+_HUNDREDTH_SQL = "q AS (SELECT doc_id AS query_id, text FROM documents WHERE doc_id % 100 = 0)"
+
+
+def _hundredth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("content").alias("text"))
+
+
+@_register("candidates_or_table", f"WITH {_TF}, {_HUNDREDTH_SQL}, {_QT} SELECT DISTINCT query_id, doc_id FROM qt JOIN tf USING (term)")
+def candidates_or_table(spark, sf_dir):
+    return _candidates(spark, sf_dir, "or", _hundredth(spark, sf_dir))
+
+
+@_register("candidates_and_table", f"WITH {_TF}, {_HUNDREDTH_SQL}, {_QT}, n AS (SELECT query_id, count(*) AS n FROM qt GROUP BY query_id) SELECT query_id, doc_id FROM qt JOIN tf USING (term) JOIN n USING (query_id) GROUP BY query_id, doc_id HAVING count(*) = any_value(n.n)")
+def candidates_and_table(spark, sf_dir):
+    return _candidates(spark, sf_dir, "and", _hundredth(spark, sf_dir))
+
+
+@_register("search_or_table_topk", _search_sql(_HUNDREDTH_SQL, "or", 10))
+def search_or_table_topk(spark, sf_dir):
+    return _search(spark, sf_dir, _hundredth(spark, sf_dir), "or", 10)
+
+
+@_register("search_and_table_topk", _search_sql(_HUNDREDTH_SQL, "and", 10))
+def search_and_table_topk(spark, sf_dir):
+    return _search(spark, sf_dir, _hundredth(spark, sf_dir), "and", 10)
+
+
 _TERMS = ("then", "road", "est")
 
 
@@ -276,6 +305,14 @@ def suggest_topk(spark, sf_dir):
     return suggest.suggest(spark.createDataFrame(_KEYS, "query_id long, key string"), words, 10)
 
 
+@_register("suggest_table_topk", f"""WITH {_TOK}, t AS (SELECT term, count(*) AS frequency FROM tok GROUP BY term), i AS (SELECT *, row_number() OVER (ORDER BY term) - 1 AS term_id FROM t),
+k AS (SELECT term_id AS query_id, term AS key FROM i WHERE term_id % 100 = 0), c AS (SELECT query_id, key, i.term, i.term_id, frequency, levenshtein(key, i.term) AS distance FROM k, i WHERE len(list_intersect(string_split(key, ''), string_split(i.term, ''))) > 0)
+SELECT query_id, rank, term_id, term, distance, frequency FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, frequency DESC, term) AS rank FROM c) WHERE rank <= 10""")
+def suggest_table_topk(spark, sf_dir):
+    words = suggest.dictionary(terms.recommendation_frequency(_tf(spark, sf_dir)))
+    return suggest.suggest(words.where("term_id % 100 = 0").select(F.col("term_id").alias("query_id"), F.col("term").alias("key")), words, 10)
+
+
 # --- fingerprints ---
 
 _M = "18446744073709551616::UHUGEINT"
