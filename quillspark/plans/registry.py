@@ -339,6 +339,17 @@ def hamming_pairs(spark, sf_dir):
     return fingerprints.near_pairs(distinct, 3)
 
 
+@_register("hamming_classes", f"WITH {_SIM}, u AS (SELECT min(doc_id) AS id, simhash FROM sim GROUP BY simhash), n AS (SELECT x.id, count(*) AS links FROM u x JOIN u y ON x.id <> y.id AND bit_count(xor(x.simhash, y.simhash)) <= 3 GROUP BY x.id) SELECT doc_id, u.id AS representative, coalesce(links, 0) AS links FROM documents LEFT JOIN sim USING (doc_id) LEFT JOIN u USING (simhash) LEFT JOIN n ON n.id = u.id")
+def hamming_classes(spark, sf_dir):
+    """The membership to the pairs of hamming_pairs: each document's representative and how many others that one is within 3 bits of."""
+    made = _simhash(spark, sf_dir).select("doc_id", "simhash")
+    distinct = made.where("simhash is not null").groupBy("simhash").agg(F.min("doc_id").alias("ordinal"))
+    pairs = fingerprints.near_pairs(distinct, 3)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("ordinal")).groupBy("ordinal").agg(F.count("*").alias("links"))
+    classes = distinct.join(links, "ordinal", "left")
+    return made.join(classes, "simhash", "left").select("doc_id", F.col("ordinal").alias("representative"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 _GREEDY = f"""WITH RECURSIVE {_SIM}, o AS (SELECT d.doc_id, d.source AS input_path, simhash, row_number() OVER (ORDER BY d.source, d.doc_id) AS rn FROM documents d LEFT JOIN sim USING (doc_id)),
 r AS (SELECT 0::BIGINT AS rn, []::STRUCT(h UBIGINT, id BIGINT)[] AS kept, NULL::BIGINT AS doc_id, NULL::VARCHAR AS input_path, NULL::UBIGINT AS simhash, NULL::STRUCT(h UBIGINT, id BIGINT) AS hit
 UNION ALL SELECT o.rn, CASE WHEN o.simhash IS NOT NULL AND list_filter(r.kept, lambda k: bit_count(xor(k.h, o.simhash)) <= 3)[1] IS NULL THEN list_append(r.kept, {{'h': o.simhash, 'id': o.doc_id}}) ELSE r.kept END, o.doc_id, o.input_path, o.simhash, list_filter(r.kept, lambda k: bit_count(xor(k.h, o.simhash)) <= 3)[1] FROM r JOIN o ON o.rn = r.rn + 1),
