@@ -1,14 +1,16 @@
 """Personal data: patterns with checks, and terms that give protected entities away. DataFrame operations only.
 
-*Base spans.* Four kinds of value are found leftmost and non-overlapping per kind; matches that fail their check are dropped. A
-text is split at the matches; sums of the pieces' lengths give the places, in code points.
-
-*Disclosure.* The corpus tells how strongly a term reveals an entity. Contexts are the lines that hold a base value. For a term t
-(a run of letters) and an entity e (a base value, lower-cased), n(t,e) is the number of documents in which t stands on a line with e,
-n(t) and n(e) are document counts over all documents, N their number; rows that repeat a doc_id and text are one document. t discloses e if it
-stands with e on lines of at least ``lines`` documents, the same line in two documents counting twice, if P(e|t) = n(t,e)/n(t) is at least
-``share``, and if the pointwise information log2(P(e|t) / P(e)) is at least ``bits``. One document is enough by default: share and bits decide.
-Such terms are generalised to ``[TERM]``, or removed, wherever they stand in any document.
+*Base spans.* Four kinds of value are found leftmost and non-overlapping per kind; matches that fail their check are dropped. Texts are
+worked on in pieces of ``PIECE`` code points or a little more, cut where no match of any kind and no word can go on, so the work grows with
+the length of a text and not with the square of its matches.
+
+*Disclosure.* The corpus tells how strongly a term reveals an entity. The context of a base value is the last and first ``NEAR`` terms
+before and after it, on its line and within ``REACH`` code points. For a term t (a run of letters; a single character in scripts that are written without
+spaces) and an entity e (a base value, lower-cased), n(t,e) is the number of documents in which t stands in a context of e, n(t) and n(e)
+are document counts over all documents, N their number; rows that repeat a doc_id and text are one document. t discloses e if n(t,e) is
+``support`` at least, if P(e|t) = n(t,e)/n(t) is at least ``share``, and if the pointwise information log2(P(e|t) / P(e)) is at least
+``bits``. One document is enough by default: share and bits decide. Such terms are generalised to ``[TERM]``, or removed, wherever they
+stand in any document.
 
 Term counts are combined per task before they are shuffled. All that every task gets is a bitmap of 2**20 buckets, whose size is fixed; it
 thins out the words of each text before they become rows, and texts before they are joined. Exact joins follow.
@@ -20,7 +22,6 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillspark.llm._space import Space
 
@@ -34,21 +35,29 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 BUCKETS = 1 << 20
+PIECE = 2000
+NEAR = 8
+REACH = 200
+#: A piece ends behind a character that is neither a letter nor in any pattern, behind a space that follows a letter, or before a plus sign that
+#: follows a space. A stretch without such a place stays one piece.
+_CUT = rf"(?s).{{{PIECE}}}.*?(?:[^\p{{L}}\p{{M}}0-9._%+@()\x20-]|\p{{L}}\x20|\x20(?=\+)|\z)|.+"
+#: Scripts without spaces between words.
+_DENSE = r"\p{IsHan}\p{IsHiragana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_RUN = rf"[\p{{L}}&&[^{_DENSE}]]+|[\p{{L}}&&[{_DENSE}]]"
+_TERM = rf"[\p{{L}}&&[^{_DENSE}]]{{2,}}|[\p{{L}}&&[{_DENSE}]]"
+_SPANS = "array<struct<k:int,start:int,end:int,value:string>>"
 
 
-_SPANS = "array<struct<k:int,start:int,end:int,value:string>>"
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _zipped(gaps: Column, values: Column) -> Column:
-    """Array of (gap, value): each value with the text before it. Arrays are evaluated once, not once per element."""
+    """Array of (gap, value): each value with the text before it."""
     return F.filter(F.zip_with(gaps, values, lambda g, v: F.struct(g.alias("gap"), v.alias("value"))), lambda x: x["value"].isNotNull() & x["gap"].isNotNull())
 
 
-def _start() -> Column:
-    """The state of a walk over a text: where it is, and the spans so far."""
-    return F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
-
-
 def _valid(kind: str, m: Column) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     if kind == "ip":
@@ -62,29 +71,73 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _found(kind: str, text: Column) -> Column:
-    """Array of (k, start, end, value) of the valid matches of a kind; a null text has none."""
-    matches, pieces = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), 0), F.split(text, PATTERNS[kind], -1)
-    k = KINDS.index(kind)
-
+def _placed(piece: Column, pattern: str, k: int, good) -> Column:
+    """Array of (k, start, end, value) of the matches of a pattern in a piece that are ``good``."""
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.char_length(x["gap"])
         end = start + F.char_length(x["value"])
         here = F.struct(F.lit(k).alias("k"), start.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(_valid(kind, x["value"]), F.concat(acc["spans"], F.array(here))).otherwise(acc["spans"]).alias("spans"))
+        return F.struct(end.alias("at"), F.when(good(x["value"]), F.concat(acc["spans"], F.array(here))).otherwise(acc["spans"]).alias("spans"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
+    return F.aggregate(_zipped(F.split(piece, pattern, -1), F.regexp_extract_all(piece, F.lit(pattern), 0)), begin, step, lambda a: a["spans"])
+
+
+def _may(text: Column) -> dict[str, Column]:
+    """Cheap conditions that every match meets, so that most texts aren't searched for a kind."""
+    return {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"(?:[0-9][\x20-]?){16}"), "phone": text.rlike(r"\+[0-9]")}
+
+
+def _any(text: Column) -> Column:
+    some = _may(text)
+    return some["email"] | some["ip"] | some["card"] | some["phone"]
+
+
+def _base(piece: Column) -> Column:
+    """The spans of all kinds in a piece, by kind as listed, then start."""
+    some = _may(piece)
+    return F.concat(*[F.when(some[kind], _placed(piece, PATTERNS[kind], k, lambda v, kind=kind: _valid(kind, v))).otherwise(F.array().cast(_SPANS)) for k, kind in enumerate(KINDS)])
+
+
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_CUT), 0)
 
-    return F.aggregate(_zipped(pieces, matches), _start(), step, lambda a: a["spans"])
 
+def _starts(pieces: Column) -> Column:
+    """Where each piece begins."""
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(F.transform(pieces, F.char_length), begin, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """Adds ``base``: the spans of all kinds, by kind as listed, then start."""
-    none = F.array().cast(_SPANS)
-    text = F.col("text")
-    # Cheap conditions that every match meets, so that most texts aren't searched for a kind.
-    may = {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"(?:[0-9][\x20-]?){16}"), "phone": text.rlike(r"\+[0-9]")}
-    for kind in KINDS:
-        docs = docs.withColumn(f"_{kind}", F.when(may[kind], _found(kind, text)).otherwise(none))
-    return docs.withColumn("base", F.concat(*[f"_{kind}" for kind in KINDS])).drop(*[f"_{kind}" for kind in KINDS])
+
+def _shifted(spans: Column, at: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["k"].alias("k"), (s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["value"].alias("value")))
+
+
+def _words(text: Column) -> Column:
+    """Distinct terms: runs of at least two letters, in lower case; single characters where a script has no spaces."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TERM), 0), F.lower))
+
+
+def _contexts(pieces: Column) -> Column:
+    """Array of (entity, terms) of the base values of a text."""
+    def around(piece: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.right(F.get(pieces, i - 1), F.lit(REACH))).otherwise(F.lit(""))
+        whole = F.concat(before, piece, F.coalesce(F.left(F.get(pieces, i + 1), F.lit(REACH)), F.lit("")))
+
+        def of(s: Column, w: Column) -> Column:
+            start, end = s["start"] + F.char_length(w["before"]), s["end"] + F.char_length(w["before"])
+            left = F.substring(w["whole"], F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH)))
+            right = F.substring(w["whole"], end + 1, F.lit(REACH))
+            # A run that reaches the border may go on behind it.
+            left = F.substring_index(F.when(start > REACH, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left), "\n", -1)
+            right = F.substring_index(F.when(F.char_length(right) == REACH, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right), "\n", 1)
+            bare = lambda c: F.regexp_extract_all(F.regexp_replace(c, r"[A-Za-z0-9._%+-]*+@[A-Za-z0-9.-]*+", " "), F.lit(_TERM), 0)
+            terms = _let(F.struct(bare(left).alias("l"), bare(right).alias("r")), lambda x: F.concat(F.slice(x["l"], F.greatest(F.size(x["l"]) - NEAR, F.lit(0)) + 1, F.lit(NEAR)), F.slice(x["r"], F.lit(1), F.lit(NEAR))))
+            return F.struct(F.lower(s["value"]).alias("entity"), F.array_distinct(F.transform(terms, F.lower)).alias("terms"))
+
+        return _let(F.struct(before.alias("before"), whole.alias("whole")), lambda w: F.transform(_base(piece), lambda s: of(s, w)))
+
+    return F.flatten(F.transform(pieces, around))
 
 
 def _bitmap(keys: DataFrame) -> Column:
@@ -102,88 +155,79 @@ def _in(bitmap: Column, key: Column) -> Column:
     return F.getbit(F.get(bitmap, F.floor(bucket / 64).cast("int")), (bucket % 64).cast("int")) == 1
 
 
-def _words(text: Column) -> Column:
-    """Distinct terms: runs of letters, at least two unless they are Han, in lower case."""
-    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda w: (F.char_length(w) >= 2) | w.rlike(r"^\p{IsHan}"))
-
-
-def disclosing_terms(docs: DataFrame, spanned: DataFrame, space: Space, lines: int, share: float, bits: float) -> DataFrame:
-    """(term): the terms that disclose an entity."""
-    n_docs = docs.select("row_key").distinct().count()
-    held = spanned.where(F.size("base") > 0).select("doc_id", "row_key", "text", "base").dropDuplicates(["row_key"])
-    # Lines of the texts with spans, and where they begin.
-    cut = held.select("row_key", "base", F.posexplode(F.split("text", "\n", -1)).alias("nth", "line"))
-    begin = F.coalesce(F.sum(F.char_length("line") + 1).over(Window.partitionBy("row_key").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = cut.withColumn("begin", begin)
-    own = cut.withColumn("own", F.filter("base", lambda s: (s["start"] >= F.col("begin")) & (s["end"] <= F.col("begin") + F.char_length("line")))).where(F.size("own") > 0)
-    bare = own.select("row_key", "line", F.array_distinct(F.transform("own", lambda s: F.lower(s["value"]))).alias("values"))
-    # The values themselves are no terms.
-    stripped = F.aggregate("values", F.lower("line"), lambda a, v: F.replace(a, v, F.lit(" ")))
-    pairs = bare.select("row_key", F.explode("values").alias("entity"), stripped.alias("rest")).select("row_key", "entity", F.explode(_words(F.col("rest"))).alias("term"))
-    both = pairs.groupBy("term", "entity").agg(F.countDistinct("row_key").alias("n_both")).where(F.col("n_both") >= lines)
-    # A term is in at least as many documents as in those that hold values: most pairs can't reach the share, and go.
-    met = held.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_met"))
-    both = space.save(both.join(met, "term").where(F.col("n_both") / F.greatest("n_met", "n_both") >= share).drop("n_met"), "pairs")
-    entities = held.select("row_key", F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+def disclosing_terms(docs: DataFrame, space: Space, support: int, share: float, bits: float) -> DataFrame:
+    """``docs`` (k1, k2, text) -> (k1, k2, terms): the disclosing terms of each document that holds any."""
+    n_docs = docs.select("k1", "k2").distinct().count()
+    cut = docs.where(_any(F.col("text"))).withColumn("pieces", _pieces(F.col("text")))
+    held = space.save(cut.select("k1", "k2", _contexts(F.col("pieces")).alias("met")), "contexts")
+    each = held.select("k1", "k2", F.explode("met").alias("m")).select("k1", "k2", F.col("m.entity").alias("entity"), F.col("m.terms").alias("terms"))
+    entities = each.select("k1", "k2", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    pairs = space.save(each.select("k1", "k2", "entity", F.explode("terms").alias("term")).distinct(), "pairs")
+    # A term is in at least as many documents as in those where it stands by any value: most pairs can't reach the share, and go.
+    met = pairs.select("k1", "k2", "term").distinct().groupBy("term").agg(F.count("*").alias("n_met"))
+    both = pairs.groupBy("term", "entity").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    both = space.save(both.join(met, "term").where(F.col("n_both") >= share * F.col("n_met")).drop("n_met"), "both")
     bitmap = _bitmap(both.select(F.xxhash64("term").alias("key")))
-    some = F.filter(_words(F.col("text")), lambda w: _in(bitmap, F.xxhash64(w)))
-    counts = docs.select("row_key", some.alias("some")).where(F.size("some") > 0).dropDuplicates(["row_key"]).select(F.explode("some").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    some = docs.select("k1", "k2", F.filter(_words(F.col("text")), lambda w: _in(bitmap, F.xxhash64(w))).alias("some"))
+    some = space.save(some.select("k1", "k2", F.explode("some").alias("term")), "candidates")
+    counts = some.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     told = both.join(counts, "term").join(entities, "entity")
     p = F.col("n_both") / F.greatest("n_term", "n_both")
-    return told.where((p >= share) & (F.log2(p * n_docs / F.col("n_entity")) >= bits)).select("term").distinct()
+    terms = told.where((p >= share) & (F.log2(p * n_docs / F.col("n_entity")) >= bits)).select("term").distinct()
+    return space.save(some.join(terms, "term").groupBy("k1", "k2").agg(F.sort_array(F.collect_set("term")).alias("terms")), "hits")
 
 
-def personal_data(docs: DataFrame, lines: int = 1, share: float = 0.9, bits: float = 6.0, mode: str = "generalise") -> DataFrame:
+def personal_data(docs: DataFrame, support: int = 1, share: float = 0.9, bits: float = 6.0, mode: str = "generalise") -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, text, clean_text.
 
     ``spans`` lists kind:start:end (code points, end exclusive), the four kinds first, then the added kind ``term``; ``clean_text`` has
     base values replaced by ``[EMAIL]`` and so on, and disclosing terms by ``[TERM]`` (``mode`` 'generalise') or nothing
     ('remove'); where spans overlap, the union is replaced once, by the mark of the first. A null text is an empty one in
     all but ``text`` and ``clean_text``, which stay null. Repeated rows give repeated results; nulls in doc_id are kept. Of extra columns, those
-    named like results are replaced and the others left alone. An empty table gives an empty result.
+    named like results are replaced and the others left alone, whatever their names. An empty table gives an empty result. Texts may be
+    of any length.
     """
     spark: SparkSession = docs.sparkSession
     space = Space(spark, "pii")
-    extra = [c for c in docs.columns if c not in ("doc_id", "text", "row_key", "base", "terms", *(f"n_{k}" for k in KINDS), "n_term", "base_sha256", "spans", "clean_text")]
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row_key"), *extra)
-    spanned = base_spans(docs)
-    found = space.save(disclosing_terms(docs, spanned.select("doc_id", "row_key", "text", "base"), space, lines, share, bits), "terms")
-
-    # Which texts hold a disclosing term, and which ones.
-    bitmap = _bitmap(found.select(F.xxhash64("term").alias("key")))
-    some = F.filter(_words(F.col("text")), lambda w: _in(bitmap, F.xxhash64(w)))
-    hits = docs.select("row_key", F.explode(some).alias("term")).join(found, "term", "left_semi").groupBy("row_key").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    hits = space.save(hits, "hits")
-    near = _in(_bitmap(hits.select(F.col("row_key").alias("key"))), F.col("row_key"))
+    results = ("doc_id", "text", *(f"n_{k}" for k in KINDS), "n_term", "base_sha256", "spans", "clean_text")
+    extra = [c for c in docs.columns if c.lower() not in results]
+    rest = F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(extra)])
+    doc_id = F.col("doc_id").cast("long")
+    # 128 bits name a document, so that two of them are never taken for one.
+    docs = docs.select(doc_id.alias("doc_id"), "text", rest.alias("rest"), F.xxhash64(doc_id, "text").alias("k1"), F.xxhash64(F.lit(1), "text", doc_id).alias("k2"))
+    hits = disclosing_terms(docs.select("k1", "k2", "text"), space, support, share, bits)
+
+    near = _in(_bitmap(hits.select(F.col("k1").alias("key"))), F.col("k1"))
     none = F.array().cast("array<string>")
-    some = spanned.where(near).join(hits, "row_key", "left").withColumn("terms", F.coalesce("terms", none))
-    rest = spanned.where(~near).withColumn("terms", none)
-    both = some.select("doc_id", "text", "base", "terms", *extra).unionByName(rest.select("doc_id", "text", "base", "terms", *extra))
+    some = docs.where(near).join(hits, ["k1", "k2"], "left").withColumn("terms", F.coalesce("terms", none))
+    both = some.select("doc_id", "text", "rest", "terms").unionByName(docs.where(~near).select("doc_id", "text", "rest", none.alias("terms")))
+    both = both.withColumn("pieces", F.when(_any(F.col("text")) | (F.size("terms") > 0), _pieces(F.col("text"))).otherwise(none))
 
-    # Places of the terms: runs of letters, with what stands before each.
-    gaps, letters = F.split("text", r"\p{L}+", -1), F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0)
+    def added(piece: Column) -> Column:
+        own = lambda o: F.when(F.size(o) > 0, _placed(piece, _RUN, len(KINDS), lambda v: F.array_contains(o, F.lower(v)))).otherwise(F.array().cast(_SPANS))
+        return F.when(F.size("terms") > 0, _let(F.array_intersect(_words(piece), F.col("terms")), own)).otherwise(F.array().cast(_SPANS))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["value"])
-        here = F.struct(F.lit(len(KINDS)).alias("k"), start.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.array_contains(F.col("terms"), F.lower(x["value"])), F.concat(acc["spans"], F.array(here))).otherwise(acc["spans"]).alias("spans"))
-
-    added = F.when(F.size("terms") > 0, F.aggregate(_zipped(gaps, letters), _start(), step, lambda a: a["spans"])).otherwise(F.array().cast(_SPANS))
-    both = both.withColumn("added", added).withColumn("all", F.concat("base", "added"))
+    both = both.withColumn("parts", F.zip_with("pieces", _starts(F.col("pieces")), lambda p, at: F.struct(p.alias("piece"), at.alias("at"), _base(p).alias("base"), added(p).alias("added"))))
+    gathered = lambda name: F.flatten(F.transform("parts", lambda p: _shifted(p[name], p["at"])))
+    both = both.withColumn("base", F.sort_array(gathered("base"))).withColumn("added", gathered("added"))
     names = F.array(*[F.lit(k) for k in (*KINDS, "term")])
     listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.get(names, s["k"]), s["start"], s["end"])), ",")
 
-    # The union of all spans in order of place; each stretch is replaced by the mark of the span it begins with.
+    # The union of all spans of a piece in order of place; each stretch is replaced by the mark of the span it begins with.
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS], F.lit("[TERM]" if mode == "generalise" else ""))
-    ordered = F.array_sort(F.transform("all", lambda s: F.struct(s["start"], s["end"], s["k"])))
 
-    def cut(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.array(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.get(marks, s["k"])))).otherwise(acc["out"])
-        return F.struct(F.greatest(s["end"], acc["at"]).alias("at"), out.alias("out"))
+    def cleaned(p: Column) -> Column:
+        def cut(acc: Column, s: Column) -> Column:
+            out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(F.substring(p["piece"], acc["at"] + 1, s["start"] - acc["at"]), F.get(marks, s["k"])))).otherwise(acc["out"])
+            return F.struct(F.greatest(s["end"], acc["at"]).alias("at"), out.alias("out"))
+
+        ordered = F.sort_array(F.transform(F.concat(p["base"], p["added"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["k"].alias("k"))))
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(ordered, begin, cut, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(p["piece"], a["at"] + 1, F.char_length(p["piece"]))))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate(ordered, begin, cut, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.char_length("text"))))
+    clean = F.when(F.size("base") + F.size("added") > 0, F.array_join(F.transform("parts", cleaned), "")).otherwise(F.col("text"))
     count = lambda k: F.size(F.filter("base", lambda s: s["k"] == KINDS.index(k))).cast("long")
-    return both.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(listed("base"), 256).alias("base_sha256"), listed("all").alias("spans"), F.size("added").cast("long").alias("n_term"), "text", F.when(F.size("all") > 0, clean).otherwise(F.col("text")).alias("clean_text"), *extra)
+    return both.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(listed("base"), 256).alias("base_sha256"), listed(F.concat("base", "added")).alias("spans"),
+        F.size("added").cast("long").alias("n_term"), "text", clean.alias("clean_text"), *[F.col(f"rest.c{i}").alias(c) for i, c in enumerate(extra)],
+    )

@@ -1,10 +1,14 @@
 """Fingerprints, personal data, licences, preferences and mixing."""
 
 import hashlib
+import math
+import random
 import re
+from collections import defaultdict
 
 import numpy as np
 import pytest
+from llm_texts import prose
 
 from quillspark.llm.imatch import edited_fingerprints
 from quillspark.llm.licences import scan_licences, train
@@ -63,21 +67,79 @@ def test_pii(spark, none):
     assert personal_data(none).count() == 0
 
 
+def test_pii_in_long_texts(spark):
+    """Pieces meet at places that no match spans; columns of any name come through."""
+    rng = random.Random(12)
+    bits = ["a.b@c-d.example.org", "10.20.30.40", "4111 1111 1111 1111", "+1 (988) 555-2485", "word", "été", "漢字", "7", "+", "1.2.3.", ", ", "\n", "-", "(", "x@y"]
+    texts = ["".join(rng.choice(bits) + rng.choice([" ", " ", "", "  "]) for _ in range(1500)) for _ in range(6)] + [" ".join(f"u{i}@h.example.org" for i in range(5000))]
+    names = ["added", "all", "base", "terms", "pieces", "parts", "rest", "k1", "_email", "_ip", "row_key", "a b"]
+    df = spark.createDataFrame([(i, t, *names) for i, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for r in personal_data(df, bits=99.0).collect():
+        assert r["spans"] == ",".join(base(texts[r["doc_id"]])) and [r[n] for n in names] == names
+
+
+def told(rows, support, share, least, near=8, reach=200):
+    """Disclosing terms by counting: every value's neighbours, every document's words."""
+    docs = {(i, t or "") for i, t in rows}
+    words = lambda t: re.findall(r"[^\W\d_]{2,}", t)
+    pairs, entities, terms = defaultdict(set), defaultdict(set), defaultdict(set)
+    for d in docs:
+        for w in words(d[1]):
+            terms[w.lower()].add(d)
+        for s in base(d[1]):
+            a, b = map(int, s.split(":")[1:])
+            left, right = d[1][max(0, a - reach) : a], d[1][b : b + reach]
+            left = re.sub(r"^[^\W\d_]+", "", left) if a > reach else left
+            right = re.sub(r"[^\W\d_]+$", "", right) if len(right) == reach else right
+            bare = lambda x: words(re.sub(r"[A-Za-z0-9._%+-]*@[A-Za-z0-9.-]*", " ", x))
+            entity = d[1][a:b].lower()
+            entities[entity].add(d)
+            for t in {w.lower() for w in bare(left.split("\n")[-1])[-near:] + bare(right.split("\n")[0])[:near]}:
+                pairs[t, entity].add(d)
+    p = lambda t, e: len(pairs[t, e]) / len(terms[t])
+    return {t for t, e in pairs if len(pairs[t, e]) >= support and p(t, e) >= share and math.log2(p(t, e) * len(docs) / len(entities[e])) >= least}
+
+
+def test_disclosure_against_counts(spark):
+    """n(t,e), n(t), n(e), the share and the bits, against a count by hand; and every place of every such term."""
+    rng = random.Random(8)
+    people = [(f"p{k}@mail.example.org", rng.choice(["Quor", "Blyt", "Zarq"]) + chr(97 + k) + "on") for k in range(12)]
+    rows = []
+    for i in range(160):
+        line = [prose(rng, rng.randrange(0, 30)) for _ in range(3)]
+        if i % 3 == 0:
+            mail, name = rng.choice(people)
+            line[1] = f"{prose(rng, 4)} {name if rng.random() < 0.9 else 'Someone'} wrote: {mail} {prose(rng, 40)}"
+        if i % 11 == 0:
+            line.append(people[i % 12][1] + " " + prose(rng, 3))
+        rows.append((i, "\n".join(line)))
+    rows += [rows[3], rows[6], (400, None), (401, "")]
+    for support, share, least in ((1, 0.6, 4.0), (2, 0.5, 3.0), (3, 0.2, 1.0)):
+        want = told(rows, support, share, least)
+        got = personal_data(spark.createDataFrame(rows, "doc_id long, text string"), support=support, share=share, bits=least).collect()
+        texts = dict(rows)
+        assert want
+        for r in got:
+            t = texts[r["doc_id"]] or ""
+            own = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[^\W\d_]+", t) if m.group().lower() in want]
+            assert r["spans"] == ",".join(base(t) + own)
+
+
 @pytest.mark.parametrize(("mode", "mark"), [("generalise", "[TERM]"), ("remove", "")])
 def test_disclosing_terms(spark, mode, mark):
     rows = [(j, f"w{j} zarquon writes to zed@x.io on the day") for j in range(9)] + [(50, "Zarquon!\nzarquonish zarquon")] + [(100 + j, f"the day of number {j} and those who write") for j in range(300)]
-    got = {r["doc_id"]: r for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string"), lines=5, share=0.9, bits=4.0, mode=mode).collect()}
+    got = {r["doc_id"]: r for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string"), support=5, share=0.9, bits=4.0, mode=mode).collect()}
     assert got[3]["clean_text"].startswith(f"w3 {mark} ") and "[EMAIL]" in got[3]["clean_text"]
     assert got[50]["spans"] == "term:0:7,term:20:27" and got[50]["clean_text"] == f"{mark}!\nzarquonish {mark}"
     assert all(got[100 + j]["spans"] == "" for j in range(300))
 
 
 def test_disclosing_terms_of_rare_values(spark):
-    """Values of one document, one line in many documents, short names, and rows that are repeated."""
-    rows = [(1, "intro\nquorvax wrote as one@x.io of the day")] + [(10 + j, f"number {j}\nli zarquon, the@sign.ature") for j in range(4)] + [(20, "ask li of number")]
+    """Values of one document, one line in many documents, short names, scripts without spaces, and rows that are repeated."""
+    rows = [(1, "intro\nquorvax wrote as one@x.io of the day")] + [(10 + j, f"number {j}\nli zarquon, the@sign.ature") for j in range(4)] + [(20, "ask li of number"), (40, "the day 嬴 +1 (988) 555-2499")]
     rows += [(30, "blyth of the day +1 (988) 555-2485")] * 2 + [(100 + j, f"the day of number {j} and as one wrote intro to ask") for j in range(700)]
     got = {r["doc_id"]: r for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1]["clean_text"] == "intro\n[TERM] wrote as [EMAIL] of the day"
+    assert got[1]["clean_text"] == "intro\n[TERM] wrote as [EMAIL] of the day" and got[40]["clean_text"] == "the day [TERM] [PHONE]"
     assert all(got[10 + j]["clean_text"] == f"number {j}\nli [TERM], [EMAIL]" for j in range(4)) and got[20]["n_term"] == 0
     assert got[30]["clean_text"] == "[TERM] of the day [PHONE]" and all(got[100 + j]["spans"] == "" for j in range(700))
     short = {r["doc_id"]: r for r in personal_data(spark.createDataFrame([r for r in rows if r[0] != 20], "doc_id long, text string")).collect()}
