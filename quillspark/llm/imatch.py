@@ -1,13 +1,15 @@
 """Document fingerprints by I-Match with randomised lexicons, in DataFrame operations only.
 
-The lexicon holds the terms whose document frequency lies between ``rare`` and ``common`` times the number of documents (a band of
-inverse document frequency). At most (mean number of distinct terms per document) / ``rare`` terms can reach the lower bound, so
-the broadcast lexicon doesn't grow with the corpus. A document keeps its lexicon terms, sorts the distinct ones, and hashes those that
-fall in each of ``SUBSETS`` random sub-lexicons. Sub-lexicons are nested by powers of two; a document uses the level at which it
-has about one term in each, and the next finer one, so that long and short texts are equally robust against edits.
-
-Likeness of two fingerprints: of the sub-lexicons in which either has a term, at the finest level that both have, the share
-whose hashes agree.
+The base lexicon holds the terms whose document frequency lies between ``rare`` and ``common`` times the number of documents (a band of
+inverse document frequency). At most (mean number of distinct terms per document) / ``rare`` terms can reach the lower bound, so it
+doesn't grow with the corpus; it is broadcast only if it has at most ``held`` terms. Randomised lexicons are fixed subsets of
+it, the same for every document: ``FAMILIES`` independent ones for each of ``DEPTHS`` densities, of which one keeps a half of the terms,
+the next a quarter, and so on. A term's hash alone says which ones it is in: in family f with density 2**-d if the d lowest bits of the hash's
+byte f are zero.
+
+A document's fingerprint has one value for each lexicon and one for the whole band: its distinct terms that the lexicon holds, sorted, are hashed as
+one. Dense lexicons tell small edits apart, sparse ones agree after large edits; long and short texts are treated alike. Likeness of two
+fingerprints: of the lexicons in which either has a term, the share whose hashes agree.
 """
 
 from __future__ import annotations
@@ -16,10 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm._order import block_of, next_blocks
+from quillspark.llm._order import Blocks, next_blocks
 from quillspark.llm._space import Space
 
-SUBSETS = 64
+FAMILIES = 8
+DEPTHS = 7
 
 
 def _terms(text: Column) -> Column:
@@ -34,50 +37,49 @@ def lexicon(docs: DataFrame, rare: float, common: float) -> DataFrame:
     return counts.where((F.col("df") >= max(2.0, rare * n)) & (F.col("df") <= max(2.0, common * n))).select("term")
 
 
-def _subset_hashes(terms: str, level: str) -> str:
-    kept = f"filter({terms}, h -> pmod(h, {level}) < {SUBSETS})"
-    own = f"filter(kept, h -> pmod(h, {level}) = k)"
-    return f"element_at(transform(array({kept}), kept -> transform(sequence(0L, {SUBSETS - 1}L), k -> if(size({own}) = 0, 0, hash({own})))), 1)"
+def fingerprint(terms: str) -> Column:
+    """The hashes of an array of sorted distinct term hashes (one at least): of the whole, then by family and density; 0 where a lexicon has none of them.
 
-
-def fingerprint_columns(df: DataFrame, terms: str, name: str) -> DataFrame:
-    """Adds ``name``: struct(level, coarse, fine) for an array of sorted distinct term hashes (one at least)."""
-    df = df.withColumn("_level", F.expr(f"cast(ceil(log2(greatest(size({terms}), 1))) as int)")).withColumn("_b", F.expr("shiftleft(1L, _level)")).withColumn("_c", F.expr("shiftleft(2L, _level)"))
-    return df.withColumn(name, F.struct(F.col("_level").alias("level"), F.expr(_subset_hashes(terms, "_b")).alias("coarse"), F.expr(_subset_hashes(terms, "_c")).alias("fine"))).drop("_level", "_b", "_c")
+    The lexicons of a family are nested, so each is filtered from the one before.
+    """
+    hashed = "transform(array(filter(s.left, h -> (shiftright(h, 8 * f) & (shiftleft(1L, d) - 1)) = 0)), l -> named_struct('left', l, 'out', concat(s.out, array(if(size(l) = 0, 0, hash(l))))))[0]"
+    family = f"aggregate(sequence(1, {DEPTHS}), named_struct('left', {terms}, 'out', cast(array() as array<int>)), (s, d) -> {hashed}, s -> s.out)"
+    return F.expr(f"concat(array(hash({terms})), flatten(transform(sequence(0, {FAMILIES - 1}), f -> {family})))")
 
 
 def as_text(fp: str) -> Column:
-    """A fingerprint as hexadecimal digits: its level, then the hashes of both levels."""
-    return F.expr(f"concat(lower(hex({fp}.level)), ':', array_join(transform(concat({fp}.coarse, {fp}.fine), h -> lower(lpad(hex(cast(h as bigint) & 4294967295L), 8, '0'))), ''))")
+    """A fingerprint as hexadecimal digits, eight for each lexicon; lexicons that hold none of the terms are left empty between commas."""
+    return F.expr(f"array_join(transform({fp}, h -> if(h = 0, '', lower(lpad(hex(cast(h as bigint) & 4294967295L), 8, '0')))), ',')")
 
 
 def likeness(a: str, b: str) -> Column:
-    """Likeness of two fingerprint structs, 0 to 1."""
-    def at(x: str, y: str) -> str:
-        both = f"zip_with({x}, {y}, (p, q) -> if(p = 0 and q = 0, null, p = q))"
-        return f"aggregate({both}, named_struct('n', 0D, 'd', 0D), (s, v) -> if(v is null, s, named_struct('n', s.n + if(v, 1D, 0D), 'd', s.d + 1D)), s -> if(s.d = 0, 0D, s.n / s.d))"
-    return F.expr(f"case when {a} = {b} then 1D when {a}.level = {b}.level then {at(a + '.coarse', b + '.coarse')} when {a}.level = {b}.level + 1 then {at(a + '.coarse', b + '.fine')} when {a}.level + 1 = {b}.level then {at(a + '.fine', b + '.coarse')} else 0D end")
+    """Likeness of two fingerprints, 0 to 1."""
+    met = f"filter(zip_with({a}, {b}, (p, q) -> named_struct('p', p, 'q', q)), x -> x.p <> 0 or x.q <> 0)"
+    return F.expr(f"transform(array({met}), m -> if(size(m) = 0, 1D, size(filter(m, x -> x.p = x.q)) / size(m)))[0]").cast("double")
 
 
-def edited_fingerprints(docs: DataFrame, rare: float = 0.001, common: float = 0.1) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, rare: float = 0.001, common: float = 0.1, held: int = 1_000_000) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next document's, in
     ascending (doc_id, text) order; after the last comes the first, and a single document is its own next. A null text is an
-    empty one; a null doc_id sorts first. Repeated rows follow one another. A text without lexicon terms has its hash as its
-    only term: equal texts still agree. Other columns are not looked at; an empty table gives an empty result.
+    empty one; rows without a doc_id come first, in the order of a hash of their text. Repeated rows follow one another. A text without
+    lexicon terms has its hash as its only term: equal texts still agree. Other columns are not looked at; an empty table gives an empty
+    result.
     """
     spark: SparkSession = docs.sparkSession
     space = Space(spark, "imatch")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    lex = space.save(lexicon(docs, rare, common).union(spark.range(1).select(F.lit(0).cast("long").alias("term"))), "lexicon")
-
-    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    placed = docs.select(block_of(key).alias("block"), "doc_id", "text")
-    after = space.save(next_blocks(placed), "next")
-    dealt = placed.repartition("block")
-    order = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    rows = dealt.withColumn("rn", F.row_number().over(order))
+    lex = space.save(lexicon(docs, rare, common), "lexicon")
+    small = lex.count() <= held  # 16 bytes or so each, in a hash table
+    lex = lex.union(spark.range(1).select(F.lit(0).cast("long").alias("term")))
+
+    other = F.xxhash64("text")
+    placed = docs.withColumn("block", Blocks(docs.select("doc_id"), "doc_id").of(other))
+    placed = placed.withColumn("key", F.coalesce("doc_id", other))
+    after = space.save(next_blocks(placed.select("block")), "next")
+    order = Window.partitionBy("block").orderBy("key", "text")
+    rows = placed.withColumn("rn", F.row_number().over(order))
     led = rows.withColumn("next_text", F.lead("text").over(order)).join(_firsts(rows, after, "text"), "block")
     half = F.floor(F.char_length("text") / 2).cast("int")
     pairs = led.select("block", "rn", "doc_id", "text", F.char_length("text").cast("long").alias("n_chars"), half.alias("half"), F.coalesce("next_text", "first_value").alias("next_text"))
@@ -85,13 +87,13 @@ def edited_fingerprints(docs: DataFrame, rare: float = 0.001, common: float = 0.
     both = pairs.select("block", "rn", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.posexplode(F.array("text", "edited")).alias("side", "body"))
     tokens = both.select("block", "rn", "doc_id", "n_chars", "edited_sha256", "side", F.xxhash64("body").alias("own"), F.explode(F.concat(F.array(F.lit("")), _terms(F.col("body")))).alias("word"))
     tokens = tokens.withColumn("term", F.when(F.col("word") == "", F.lit(0).cast("long")).otherwise(F.xxhash64("word")))
-    met = tokens.join(F.broadcast(lex), "term")
-    one = lambda side: F.array_remove(F.array_sort(F.collect_set(F.when(F.col("side") == side, F.col("term")))), 0)
+    met = tokens.join(F.broadcast(lex) if small else lex, "term")
+    one = lambda side: F.array_remove(F.sort_array(F.collect_set(F.when(F.col("side") == side, F.col("term")))), 0)
     own = lambda side: F.max(F.when(F.col("side") == side, F.col("own")))
     sets = met.groupBy("block", "rn").agg(F.first("doc_id").alias("doc_id"), F.first("n_chars").alias("n_chars"), F.first("edited_sha256").alias("edited_sha256"), one(0).alias("t0"), one(1).alias("t1"), own(0).alias("h0"), own(1).alias("h1"))
     for k in "01":
         sets = sets.withColumn(f"t{k}", F.expr(f"if(size(t{k}) = 0, array(h{k}), t{k})"))
-    made = fingerprint_columns(fingerprint_columns(sets, "t0", "f0"), "t1", "f1").drop("t0", "t1", "h0", "h1")
+    made = sets.withColumn("f0", fingerprint("t0")).withColumn("f1", fingerprint("t1")).drop("t0", "t1", "h0", "h1")
     made = space.save(made, "made")
 
     inner = Window.partitionBy("block").orderBy("rn")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm._order import block_of, next_blocks
+from quillspark.llm._order import Blocks, next_blocks
 
 
 def _turns(conversations: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def preference_pairs(conversations: DataFrame) -> DataFrame:
     """
     turns = _turns(conversations)
     last = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("r")).select("conv_id", F.col("r.turn").alias("last"), F.col("r.text").alias("reply"))
-    placed = last.withColumn("block", block_of(F.col("conv_id")))
+    placed = last.withColumn("block", Blocks(last.select("conv_id"), "conv_id").of(F.lit(0)))
     order = Window.partitionBy("block").orderBy("conv_id")
     firsts = placed.withColumn("rn", F.row_number().over(order)).where("rn = 1").select(F.col("block").alias("next_block"), F.col("reply").alias("first_reply"))
     rim = next_blocks(placed).join(firsts, "next_block").select("block", "first_reply")

@@ -4,12 +4,14 @@ import hashlib
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from llm_texts import prose
+from pyspark.sql import functions as F
 
+from quillspark.llm._order import Blocks
 from quillspark.llm.imatch import edited_fingerprints
 from quillspark.llm.licences import scan_licences, train
 from quillspark.llm.mixing import calibrate, mix_sources, rake
@@ -17,22 +19,79 @@ from quillspark.llm.pii import personal_data
 from quillspark.llm.preference import format_preferences, preference_pairs
 
 
-def test_imatch(docs, rows, none):
-    got = edited_fingerprints(docs, rare=0.01, common=0.9).collect()
+def lexicons(rows, rare, common):
+    """The band's terms, and a function from a text to its terms in it."""
+    terms = lambda t: {w for w in re.split(r"[^\w]|_", (t or "").lower()) if w}
+    df = Counter(w for _, t in rows for w in terms(t))
+    band = {w for w, c in df.items() if max(2.0, rare * len(rows)) <= c <= max(2.0, common * len(rows))}
+    return band, lambda t: terms(t) & band
+
+
+def test_imatch(spark, docs, rows, none):
+    rare, common = 0.01, 0.5
+    got = edited_fingerprints(docs, rare=rare, common=common).collect()
     order = sorted(rows, key=lambda r: (r[0], r[1] or ""))
+    band, terms = lexicons(rows, rare, common)
+    number = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in band], "w string").selectExpr("w", "xxhash64(w) as h").collect()}
+
+    def kept(text):
+        """The terms that each lexicon keeps of a text, or the text itself if the band has none of its terms."""
+        h = sorted(number[w] for w in terms(text)) or ["text " + text]
+        if isinstance(h[0], str):
+            return None
+        return [tuple(h)] + [tuple(x for x in h if not (x >> 8 * f) & (2**d - 1)) for f in range(8) for d in range(1, 8)]
+
+    def like(a, b):
+        x, y = kept(a), kept(b)
+        if x is None or y is None:
+            return 1.0 if a == b else None
+        met = [(p, q) for p, q in zip(x, y, strict=True) if p or q]
+        return sum(p == q for p, q in met) / len(met)
+
     want = []
     for k, (i, t) in enumerate(order):
         t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
         half = len(t) // 2
-        want.append((i, len(t), hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()))
-    assert sorted((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == sorted(want)
-    by_text = {}
+        edited = t[: len(t) - half] + nxt[:half]
+        want.append((i, t, edited, nxt))
     texts = dict(rows)
+    have = {(r["doc_id"], r["edited_sha256"]): r for r in got}
+    assert len(got) == len(rows)
+    told = 0
+    for i, t, edited, nxt in want:
+        r = have[i, hashlib.sha256(edited.encode()).hexdigest()]
+        assert r["n_chars"] == len(t) and 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        for column, other in (("near_edited", edited), ("near_next", nxt)):
+            if like(t, other) is not None:
+                told += 1
+                assert abs(r[column] - like(t, other)) < 1e-9
+        if kept(t):
+            assert [bool(x) for x in r["fingerprint"].split(",")] == [bool(x) for x in kept(t)]
+    assert told > len(rows)
+    by_text = {}
     for r in got:
         assert by_text.setdefault(texts[r["doc_id"]] or "", r["fingerprint"]) == r["fingerprint"]
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
     assert next(r for r in got if r["doc_id"] == 81)["near_edited"] == 1.0
     assert edited_fingerprints(none).count() == 0
+    assert sorted(r["fingerprint"] for r in edited_fingerprints(docs, rare=rare, common=common, held=0).collect()) == sorted(r["fingerprint"] for r in got)
+
+
+@pytest.mark.parametrize("spread", ["dense", "sparse", "clustered"])
+def test_next_rows(spark, spread):
+    """The next row is right, and blocks are even, wherever the ids lie."""
+    rng = random.Random(1)
+    n = 3000
+    ids = {"dense": list(range(n)), "sparse": [rng.randrange(-(2**62), 2**62) for _ in range(n)], "clustered": [*range(n // 2), *(10**12 + rng.randrange(10**15) for _ in range(n // 2))]}[spread]
+    df = spark.createDataFrame([(i, f"text {i}") for i in ids] + [(None, f"none {k}") for k in range(300)], "doc_id long, text string")
+    blocks = df.select("doc_id", Blocks(df.select("doc_id"), "doc_id").of(F.xxhash64("text")).alias("block")).collect()
+    held = sorted((r["doc_id"], r["block"]) for r in blocks if r["doc_id"] is not None)
+    assert [b for _, b in held] == sorted(b for _, b in held) and max(Counter(b for _, b in held).values()) < 900
+    assert len({r["block"] for r in blocks if r["doc_id"] is None}) > 3 and all((r["block"] < 0) == (r["doc_id"] is None) for r in blocks)
+    order = sorted(set(ids))
+    got = {r["doc_id"]: r["edited_sha256"] for r in edited_fingerprints(df.where("doc_id is not null")).collect()}
+    for a, b in zip(order, order[1:] + order[:1], strict=True):
+        t, nxt = f"text {a}", f"text {b}"
+        assert got[a] == hashlib.sha256((t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]).encode()).hexdigest()
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
