@@ -3,13 +3,15 @@
 Only the histogram of piece lengths matters for the plan, and it has at most ``size`` entries whatever the corpus holds. So the
 driver plans on counts, and executors then look up where each piece goes:
 
-1. Texts are tokenised whole; documents longer than a sequence are cut, full pieces are sequences of their own.
-2. *Linear grouping*: lengths above ``small`` are sorted and cut into ``groups`` groups of equal cardinality; each length is
-   rounded up to the largest of its group. Configurations of these few sizes are optimised: a linear program by column
-   generation (multiplicative weights on the groups, the best configuration of each step by a knapsack recursion), greedy
-   rounding down, and what is left over goes to step 4.
+1. Texts are tokenised whole; documents longer than a sequence are cut, and full pieces are sequences of their own.
+2. *Linear grouping*: lengths above ``small`` are sorted and cut into groups of equal cardinality; each length is rounded up to the
+   largest of its group. How often to use which configuration of these few sizes is a linear program, solved exactly by column
+   generation: a revised simplex over the groups, priced by a knapsack recursion. Small lengths take part as tokens that fill
+   what room configurations leave. Numbers are rounded down; configurations whose fraction was largest are then used once more, as
+   far as pieces are left for them.
 3. *Substitution*: the real lengths take the places of their group, longest first, which frees the room that rounding cost.
-4. *Best fit*: what is left and all small lengths, longest first, each go where the least room remains that holds them.
+4. *Best fit*: small lengths, and the few large ones that rounding down has left, longest first, each go where the least room remains that
+   holds them.
 
 Sequences with equal contents are held as one class with a multiplicity, so the plan's size follows the number of distinct
 lengths and configurations, not the number of documents.
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import bisect
 import itertools
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -65,6 +68,17 @@ class WordEncoder:
     words; when it is full it starts anew (results don't depend on it).
     """
 
+    #: The steps of a tokenizer file that this class follows.
+    STEPS = {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {
+            "type": "Sequence", "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    }
+    MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "byte_fallback": False}
     PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
     PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
@@ -72,6 +86,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(spec)
+        self.known = self._known(json.loads(spec))
         self.tok.no_truncation()
         self.tok.no_padding()
         self.odd = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
@@ -82,6 +97,11 @@ class WordEncoder:
         self.letter = {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
         self._clear()
 
+    @classmethod
+    def _known(cls, spec: dict) -> bool:
+        """Whether the file's normaliser, pre-tokeniser and model are the ones that words are split for here; with any other, the library encodes whole texts."""
+        return all(spec.get(k) == v for k, v in cls.STEPS.items()) and all(spec["model"].get(k) == v for k, v in cls.MODEL.items())
+
     def _clear(self) -> None:
         self.index = _Index()
         self.parts: dict[str, list[int]] = {}
@@ -116,6 +136,8 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each UTF-8 text."""
+        if not self.known:
+            return [np.array(self._whole(t), np.uint32) for t in texts]
         if len(self.index) > self.held:
             self._clear()
         split = [[] if any(x in t for x in self.odd) else t.split() for t in texts]
@@ -149,106 +171,130 @@ def _cutter(spec: str, size: int, end_id: int):
     return run
 
 
-def plan(histogram: dict[int, int], size: int, groups: int = 24, small: int | None = None, steps: int = 120) -> list[tuple[int, list[int]]]:
-    """Classes (multiplicity, lengths) that hold each length as often as the histogram says, no class above ``size``."""
-    small = size // 8 if small is None else small
+def plan(histogram: dict[int, int], size: int, groups: int = 128, small: int | None = None) -> list[tuple[int, list[int]]]:
+    """Classes (multiplicity, lengths) that hold each length as often as the histogram says, no class above ``size``.
+
+    ``groups`` bounds the number of groups. The program is solved with and without the small lengths' share in it,
+    and rounded with and without the fractions that are used once more; the plan with the fewest sequences counts.
+    """
+    plans = [_best_fit(*found, size) for with_small in (True, False) for found in grouped_classes(histogram, size, groups, small, with_small)]
+    return min(plans, key=lambda classes: sum(times for times, _ in classes))
+
+
+def grouped_classes(histogram: dict[int, int], size: int, groups: int = 128, small: int | None = None, with_small: bool = True) -> list[tuple[list[tuple[int, list[int]]], dict[int, int]]]:
+    """The classes of full lengths and of configurations, with real lengths in their places, and what is left of the histogram: with either rounding."""
+    small = size // 4 if small is None else small
     left = {n: c for n, c in histogram.items() if c > 0}
-    out: list[tuple[int, list[int]]] = []
-    if left.get(size):
-        out.append((left.pop(size), [size]))
+    full = [(left.pop(size), [size])] if size in left else []
     large = sorted((n for n in left if n > small), reverse=True)
     total = sum(left[n] for n in large)
-    if total:
-        per = -(-total // groups)
-        # Ranks of the longest first; a group is a range of ranks, a length may reach over several groups.
-        runs, at = [], 0
-        for n in large:
-            runs.append((at, at + left[n], n))
-            at += left[n]
-        ends = [r[1] for r in runs]
-        bound = [min(total, g * per) for g in range(groups + 1)]
-        bound = [b for i, b in enumerate(bound) if i == 0 or b > bound[i - 1]]
-        rounded = [runs[bisect.bisect_right(ends, b)][2] for b in bound[:-1]]
-        demand = [b - a for a, b in zip(bound, bound[1:], strict=False)]
-        taken = list(bound[:-1])
-        for times, config in _configure(rounded, demand, size, steps):
-            need = {g: config.count(g) for g in set(config)}
-            while times:
-                # As many sequences as have the same real lengths: up to the end of the nearest run of one length.
-                part, real = times, []
-                for g, q in need.items():
-                    p = taken[g]
-                    for _ in range(q):
-                        real.append(runs[bisect.bisect_right(ends, p)][2])
-                        p += times
-                    for j in range(q):
-                        s = taken[g] + j * times
-                        part = min(part, ends[bisect.bisect_right(ends, s)] - s)
-                if part < times:
-                    # Places of one group must stay a range: take these sequences' pieces from its front instead.
-                    part, real = times, []
-                    for g, q in need.items():
-                        e = ends[bisect.bisect_right(ends, taken[g])] - taken[g]
-                        part = min(part, max(1, e // q))
-                    for g, q in need.items():
-                        for j in range(q):
-                            real.append(runs[bisect.bisect_right(ends, taken[g] + j * part)][2])
-                        if any(runs[bisect.bisect_right(ends, taken[g] + j * part)] != runs[bisect.bisect_right(ends, taken[g] + (j + 1) * part - 1)] for j in range(q)):
-                            part, real = 1, []
-                            break
-                    if not real:
-                        real = [runs[bisect.bisect_right(ends, taken[g] + j)][2] for g, q in need.items() for j in range(q)]
-                for g, q in need.items():
-                    taken[g] += q * part
+    if not total:
+        return [(full, left)]
+    groups = min(groups, total)
+    # Ranks of the longest first; a group is a range of ranks, a length may reach over several groups.
+    ends = np.cumsum([left[n] for n in large])
+    length = np.array(large)
+    at_rank = lambda r: np.searchsorted(ends, r, "right")
+    bound = np.unique([total * g // groups for g in range(groups + 1)])
+    sizes, demand = length[at_rank(bound[:-1])], np.diff(bound)
+    tiny = np.array(sorted(n for n in left if n <= small and with_small), np.int64)
+    many = np.cumsum([left[int(n)] for n in tiny])
+    # Whole small pieces fill a room: from the tenth shortest of a hundred on, and no more of them than fit.
+    least = int(tiny[np.searchsorted(many, many[-1] / 10)]) if len(tiny) else size + 1
+    room = np.arange(size + 1)
+    fill = np.minimum(room, room // least * int(tiny.max())) if len(tiny) else room * 0
+    columns, used = _configure(sizes, demand, size, sum(int(n) * left[int(n)] for n in tiny), fill)
+
+    def substituted(once: bool) -> tuple[list[tuple[int, list[int]]], dict[int, int]]:
+        out, rest, taken = list(full), dict(left), bound[:-1].copy()
+        for times, config in _rounded(columns, used, demand, once):
+            slots = []
+            for g in np.flatnonzero(config):
+                slots += [taken[g] + j * times for j in range(config[g])]
+                taken[g] += config[g] * times
+            # Sequence i of this configuration takes rank slot + i for each slot: lengths change where a run of equal ones ends.
+            cuts = np.unique(np.concatenate([[0, times], *[ends[at_rank(s) : at_rank(s + times - 1)] - s for s in slots]]))
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                real = [int(length[at_rank(s + i)]) for s in slots]
+                out.append((j - i, real))
                 for n in real:
-                    left[n] -= part
-                out.append((part, real))
-                times -= part
-    return _best_fit(out, left, size)
-
-
-def _configure(sizes: list[int], demand: list[int], room: int, steps: int, full: float = 0.995) -> list[tuple[int, list[int]]]:
-    """Configurations of few sizes (indices, with repeats) and how often to use each, never beyond the demand."""
-    best: dict[tuple[int, ...], float] = {}
-    unit = max(1, room // 512)
-    cost = [-(-s // unit) for s in sizes]
-    cells = room // unit
-    covered = np.zeros(len(sizes))
-    want = np.array(demand, float)
+                    rest[n] -= j - i
+        return out, {n: c for n, c in rest.items() if c}
+
+    return [substituted(True), substituted(False)]
+
+
+def _priced(sizes: np.ndarray, value: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, int]:
+    """The most valuable configuration: how many of each size, and the room it takes. ``rest[c]`` is what the room beside c is worth."""
+    worth, room = np.flatnonzero(value > 1e-12), len(rest) - 1
+    gain, last = np.full(room + 1, -np.inf), np.full(room + 1, -1)
+    gain[0] = 0
+    # An unbounded knapsack over every exactly filled room, a layer for each piece.
+    for _ in range(int(room // sizes[worth].min()) if len(worth) else 0):
+        before = gain.copy()
+        for g in worth:
+            w = sizes[g]
+            with_g = before[: room + 1 - w] + value[g]
+            better = with_g > gain[w:] + 1e-12
+            if better.any():
+                gain[w:][better] = with_g[better]
+                last[w:][better] = g
+        if (gain == before).all():
+            break
+    out, c = np.zeros(len(sizes), np.int64), int(np.argmax(gain + rest))
+    taken = c
+    while c > 0:
+        out[last[c]] += 1
+        c -= sizes[last[c]]
+    return out, taken
+
+
+def _configure(sizes: np.ndarray, demand: np.ndarray, room: int, sand: int, fill: np.ndarray, steps: int = 1500) -> tuple[list[np.ndarray], np.ndarray]:
+    """Configurations (how many of each size) and how often to use each, as fractions.
+
+    Gilmore and Gomory's column generation: the least number of sequences that hold the demand exactly, and ``sand`` tokens of small
+    lengths, of which ``fill[r]`` go into a room of r that a configuration leaves. ``steps`` bounds the number of columns; it ends long before,
+    when no configuration prices below its cost.
+    """
+    n = len(sizes)
+    fit = room // sizes
+    beside = fill[::-1]
+    # The last row is the sand, and its first column a sequence of nothing else.
+    basis = np.diag([*fit, room]).astype(float)
+    columns = [np.eye(n, dtype=np.int64)[g] * fit[g] for g in range(n)] + [np.zeros(n, np.int64)]
+    used = np.append(demand / fit, sand / room)
     for _ in range(steps):
-        value = np.exp(-6 * covered / want) * np.array(sizes)
-        gain, choice = np.zeros(cells + 1), np.full(cells + 1, -1)
-        for c in range(1, cells + 1):
-            gain[c] = gain[c - 1]
-            for g, w in enumerate(cost):
-                if w <= c and gain[c - w] + value[g] > gain[c] + 1e-12:
-                    gain[c], choice[c] = gain[c - w] + value[g], g
-        config, c = [], cells
-        while c > 0:
-            if choice[c] < 0:
-                c -= 1
-                continue
-            config.append(int(choice[c]))
-            c -= cost[choice[c]]
-        if not config:
+        price = np.linalg.solve(basis.T, np.ones(n + 1))
+        config, taken = _priced(sizes, price[:n], max(price[n], 0) * beside)
+        filled = beside[taken] if price[n] > 0 else 0
+        if price[:n] @ config + price[n] * filled <= 1 + 1e-7:
             break
-        q = np.bincount(config, minlength=len(sizes))
-        amount = (want / steps * len(sizes) / max(1, len(config)))[q > 0].min()
-        key = tuple(sorted(config))
-        best[key] = best.get(key, 0) + amount
-        covered += q * amount
-    # Only configurations that leave little room are worth their rounding; what they don't use is packed one by one.
-    rest = list(demand)
-    out = []
-    good = {key: amount for key, amount in best.items() if sum(sizes[g] for g in key) >= full * room}
-    for key, amount in sorted(good.items(), key=lambda x: -sum(sizes[g] for g in x[0])):
-        q = {g: key.count(g) for g in set(key)}
-        times = min([int(amount), *(rest[g] // n for g, n in q.items())])
-        if times > 0:
-            out.append((times, list(key)))
-            for g, n in q.items():
-                rest[g] -= n * times
-    return out
+        move = np.linalg.solve(basis, np.append(config, filled).astype(float))
+        some = np.flatnonzero(move > 1e-9)
+        if not len(some):
+            break
+        out = some[np.argmin(used[some] / move[some])]
+        step = used[out] / move[out]
+        used = np.maximum(used - step * move, 0)
+        used[out] = step
+        basis[:, out] = np.append(config, filled)
+        columns[out] = config
+    return columns, used
+
+
+def _rounded(columns: list[np.ndarray], used: np.ndarray, demand: np.ndarray, once: bool) -> list[tuple[int, np.ndarray]]:
+    """Whole numbers of each configuration, never beyond the demand; with ``once``, those of the largest fractions get one more."""
+    rest, times = demand.copy(), np.floor(used + 1e-9).astype(np.int64)
+    # Rounding errors must not ask for more than there is.
+    for k, config in enumerate(columns):
+        some = config > 0
+        times[k] = min(times[k], (rest[some] // config[some]).min()) if some.any() else 0
+        rest = rest - times[k] * config
+    for k in np.argsort(np.floor(used + 1e-9) - used, kind="stable") if once else ():
+        if columns[k].any() and (columns[k] <= rest).all():
+            times[k] += 1
+            rest = rest - columns[k]
+    return [(int(t), config) for t, config in zip(times, columns, strict=True) if t]
 
 
 def _best_fit(classes: list[tuple[int, list[int]]], left: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
@@ -311,31 +357,52 @@ def _runs(classes: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, int
     return out
 
 
-def pack(docs: DataFrame, spec: str, size: int = 4096, end_id: int = 1, blocks: int = 64) -> DataFrame:
+def _placer(places: list[tuple[int, int, int, int, int]]):
+    """Looks up the sequence and offset of rows (..., length, rank) among the sorted places of their length."""
+    table = np.array(sorted(places), np.int64).reshape(-1, 5)
+    lengths, firsts = np.unique(table[:, 0], return_index=True)
+    firsts = np.append(firsts, len(table))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
+            at = np.zeros(len(length), np.int64)
+            order = np.argsort(length, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else ():
+                k = np.searchsorted(lengths, length[part[0]])
+                a, b = firsts[k], firsts[k + 1]
+                at[part] = a + np.searchsorted(table[a:b, 1], rank[part], "right") - 1
+            found = table[at]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(found[:, 2] + rank - found[:, 1]), pa.array(found[:, 4])], names=[*names, "sequence_id", "offset"])
+    return run
+
+
+def pack(docs: DataFrame, spec: str, size: int = 4096, end_id: int = 1, rows: int = 20_000) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    ``spec`` is the text of a tokenizer file (``tokenizers`` library) with word ends. Each text's ids are followed by ``end_id``.
+    ``spec`` is the text of a tokenizer file (``tokenizers`` library). Each text's ids are followed by ``end_id``.
     Null and empty texts are the end id alone. Rows that share a doc_id are packed each for itself. Other columns are not looked
-    at. An empty table gives an empty result.
+    at. An empty table gives an empty result. Full pieces have sequences with negative numbers. Pieces of one length are numbered in blocks of about
+    ``rows``.
     """
     spark: SparkSession = docs.sparkSession
     space = Space(spark, "packing")
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cutter(spec, size, end_id), _PIECES)
-    pieces = space.save(pieces.withColumn("blk", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)).cast("int")), "pieces")
-    counts = pieces.groupBy("length", "blk").agg(F.count("*").alias("n"))
-    counts = space.save(counts, "counts")
-    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `size` rows
-    places = _runs(plan(histogram, size))
-    schema = "length long, first_rank long, first_sequence long, times long, offset long"
-    table = pa.table({n: pa.array([p[k] for p in places], pa.int64()) for k, n in enumerate(("length", "first_rank", "first_sequence", "times", "offset"))})
-    runs = spark.createDataFrame(table.to_pandas(), schema)
-
+    pieces = space.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cutter(spec, size, end_id), _PIECES), "pieces")
+    histogram = {r[0]: r[1] for r in pieces.groupBy("length").agg(F.count("*")).collect()}  # at most `size` rows
+    full = pieces.where(F.col("length") == size).select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    histogram.pop(size, None)
+    if not histogram:
+        return full
     # Rank of each piece among those of its length: its rank in its block, after all earlier blocks. A length that very many
-    # pieces share is spread over the blocks.
-    before = counts.select("length", "blk", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    local = pieces.withColumn("k", F.row_number().over(Window.partitionBy("length", "blk").orderBy("doc_id", "piece", "ids_crc32", "row_key")) - 1)
-    ranked = local.join(F.broadcast(before), ["length", "blk"]).withColumn("rank", F.col("before") + F.col("k"))
-    # The run that holds a rank: the last one of the length that begins at or before it. Runs of a length become one array.
-    lists = runs.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first_rank", "first_sequence", "offset"))).alias("runs"))
-    found = ranked.join(F.broadcast(lists), "length").withColumn("at", F.expr("element_at(filter(runs, r -> r.first_rank <= rank), -1)"))
-    return found.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("at.first_sequence") + F.col("rank") - F.col("at.first_rank")).alias("sequence_id"), F.col("at.offset").alias("offset"))
+    # pieces share has many blocks.
+    blocks = max(1, max(histogram.values()) // rows)
+    blk = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "row_key"), F.lit(blocks)).cast("int")
+    rest = pieces.where(F.col("length") < size).withColumn("blk", blk)
+    counts = rest.groupBy("length", "blk").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("before", before).drop("n")
+    local = rest.withColumn("k", F.row_number().over(Window.partitionBy("length", "blk").orderBy("doc_id", "piece", "ids_crc32", "row_key")) - 1)
+    ranked = local.join(counts, ["length", "blk"]).withColumn("rank", F.col("before") + F.col("k"))
+    found = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_placer(_runs(plan(histogram, size))), full.schema)
+    return full.unionByName(found)
