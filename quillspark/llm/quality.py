@@ -1,9 +1,10 @@
 """Quality classification by nearest-neighbour voting in a latent-semantic space.
 
-A text is a bag of terms that describe how it is written: the pattern of character classes of each word, pairs of such patterns,
-whether a word repeats the one before, and hashed short words. Terms are weighted by tf-idf and projected on the leading
-singular vectors of the labelled sample's term matrix. A document's score is the mean of all neighbours' labels, weighted by a
-steep function of cosine similarity; products with all labelled vectors are exact, in blocks.
+A text is a bag of hashed terms: its words, in lower case; and how it is written: the runs of character classes of each word (space, lower, upper,
+digit, sentence mark, symbol, beyond ASCII), pairs of these patterns, the patterns with the word's length, and how often words repeat the
+one before. Terms are weighted by tf-idf and projected on the leading singular vectors of the labelled sample's term matrix. A document's score is
+the mean of the labels of its ``neighbours`` nearest labelled vectors, weighted by a steep function of cosine similarity; products with all
+labelled vectors are exact, in blocks.
 
 The only thing fitted is the labelled sample, at most ``most`` rows (the smallest by a hash of doc_id, whatever the size of the
 corpus), so the vectors that are broadcast have a fixed bound of ``most * rank`` floats. Every document is scored, whole.
@@ -19,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._bytes import Chunk, chunks, mix
+from quillspark.llm._bytes import Chunk, _powers, chunks, mix
 
 _U = np.uint64
 #: Character classes: space, lower, upper, digit, sentence mark, symbol, beyond ASCII.
@@ -29,7 +30,7 @@ _CLASS[97:123] = 1
 _CLASS[65:91] = 2
 _CLASS[48:58] = 3
 _CLASS[list(b".,;:?'\"()-")] = 4
-_CLASS[128:] = 1
+_CLASS[128:] = 6
 
 TERMS = 1 << 13
 
@@ -45,23 +46,30 @@ def _terms(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     change = np.ones(len(kinds), bool)
     change[1:] = kinds[1:] != kinds[:-1]
     change[starts] = True
-    # A word's pattern: its runs of character classes, by position from the front; at most the first eight runs tell words apart.
+    # A word's pattern: its runs of character classes, each by its place from the front, all of them.
     at = np.flatnonzero(change & (kinds > 0))
-    word = np.searchsorted(starts, at, "right") - 1
     first = np.searchsorted(at, starts)
-    nth = np.arange(len(at)) - first[word]
-    code = np.bincount(word, (kinds[at] + 1.0) * np.where(nth < 8, 7.0 ** np.minimum(nth, 8), 0.0), n).astype(np.int64).astype(_U)
-    size = np.minimum(stops - starts, 12).astype(_U)
+    nth = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    code = np.add.reduceat((kinds[at].astype(_U) + _U(1)) * _powers(len(at) + 1)[0][nth], first)
+    size = (stops - starts).astype(float)
+    size = np.where(size < 12, size, 12 + np.floor(4 * np.log2(np.maximum(size, 12) / 12))).astype(_U)
     h = chunk.hashes(starts, stops, lower=True)
     same = np.zeros(n, bool)
     same[1:] = (h[1:] == h[:-1]) & (text[1:] == text[:-1])
+    # How often a word has stood there in a row, in powers of two; and tenths of the text's words that repeat the one before.
+    begin = np.maximum.accumulate(np.where(same, 0, np.arange(n)))
+    row = np.log2(1 + np.arange(n) - begin).astype(np.int64).astype(_U)
+    many = np.bincount(text, minlength=chunk.count)
+    tenth = (10 * np.bincount(text, same, chunk.count) / np.maximum(many, 1)).astype(np.int64).astype(_U)
     pair = np.flatnonzero(text[1:] == text[:-1])
     families = [
         (text, mix(code * _U(0x9E3779B97F4A7C15) + _U(1))),
         (text[pair], mix(code[pair] * _U(0xC2B2AE3D27D4EB4F) + code[pair + 1] * _U(31) + _U(2))),
-        (text[same], np.full(int(same.sum()), 3, _U)),
+        (text[same], mix(row[same] + _U(3))),
+        (text[same], mix(code[same] * _U(0xE7037ED1A0B428DB) + row[same] * _U(131) + _U(6))),
+        (text, mix(tenth[text] + _U(1000))),
         (text, mix(code * _U(0xA0761D6478BD642F) + size * _U(97) + _U(4))),
-        (text[size <= _U(4)], mix(h[size <= _U(4)] + _U(5))),
+        (text, mix(h + _U(5))),
     ]
     of = np.concatenate([f[0] for f in families])
     term = (np.concatenate([f[1] for f in families]) % _U(TERMS)).astype(np.int64)
@@ -119,17 +127,19 @@ class Space:
             out[some] = np.add.reduceat(self.basis[term] * weight[:, None], edge[some], axis=0)
         return self._unit(out), edge[1:] > edge[:-1]
 
-    def vote(self, vectors: np.ndarray, sharp: float, block: int = 2048) -> np.ndarray:
-        """The weighted mean label of all labelled vectors, by exact products block by block."""
-        up, down = np.zeros(len(vectors)), np.zeros(len(vectors))
+    def vote(self, vectors: np.ndarray, sharp: float, neighbours: int, block: int = 2048) -> np.ndarray:
+        """The weighted mean label of the nearest labelled vectors, by exact products block by block; ties go to the earlier one."""
+        best = np.zeros((len(vectors), 0), np.float32)
+        label = np.zeros((len(vectors), 0), np.float32)
         for a in range(0, len(self.vectors), block):
-            like = vectors @ self.vectors[a : a + block].T
-            np.subtract(like, 1, out=like)
-            like *= sharp
-            np.exp(like, out=like)
-            up += like @ self.labels[a : a + block]
-            down += like.sum(1)
-        return up / np.maximum(down, 1e-30)
+            like = np.concatenate([best, vectors @ self.vectors[a : a + block].T], axis=1)
+            mark = np.concatenate([label, np.broadcast_to(self.labels[a : a + block], (len(vectors), len(self.labels[a : a + block])))], axis=1)
+            if like.shape[1] > neighbours:
+                at = np.argpartition(-like, neighbours - 1, axis=1)[:, :neighbours]
+                like, mark = np.take_along_axis(like, at, 1), np.take_along_axis(mark, at, 1)
+            best, label = like, mark
+        weight = np.exp(sharp * (best - best.max(1, keepdims=True)))
+        return (weight * label).sum(1) / weight.sum(1)
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +152,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.ListArray.from_arrays(edge, pa.array(term.astype(np.int32))), pa.ListArray.from_arrays(edge, pa.array(weight))], names=["doc_id", "quality", "term", "weight"])
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, most: int = 6000, rank: int = 48, sharp: float = 40.0, threshold: float = 0.3) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, most: int = 6000, rank: int = 48, neighbours: int = 25, sharp: float = 20.0, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...) with held_out, score and predicted; nothing is shuffled but the labelled sample.
 
     ``labels`` (doc_id, quality) teaches; rows whose crc32(doc_id) mod 5 is 0 are held out and never used. Labelled rows with a
@@ -153,7 +163,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, most: int = 6000, rank:
     names; other columns stay. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    docs = docs.select(*[c for c in docs.columns if c not in ("held_out", "score", "predicted")])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("held_out", "score", "predicted")])
     crc = lambda c: F.crc32(F.col(c).cast("long").cast("string"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality is not null").where(crc("doc_id") % 5 != 0)
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -165,17 +175,16 @@ def score_documents(docs: DataFrame, labels: DataFrame, most: int = 6000, rank:
         space = Space(np.repeat(np.arange(len(size)), size), pc.list_flatten(rows["term"]).to_numpy().astype(np.int64), pc.list_flatten(rows["weight"]).to_numpy(), rows["quality"].to_numpy() > 0, rank)
     shared = spark.sparkContext.broadcast(space)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space = shared.value
-        for batch in batches:
-            for chunk in chunks(batch.column(batch.schema.get_field_index("text")), 1 << 19):
-                if space is None:
-                    score = (np.bincount(chunk.words()[2], minlength=chunk.count) > 0).astype(float)
-                else:
-                    vectors, some = space.project(chunk)
-                    score = np.where(some, np.clip(space.vote(vectors, sharp), 0, 1), 0.0)
-                part = batch.slice(chunk.first, chunk.count)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "score"])
-
-    scored = docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", score double")
-    return scored.select(*docs.columns, (crc("doc_id") % 5 == 0).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        space, out = shared.value, [np.zeros(0)]
+        for chunk in chunks(texts, 1 << 19):
+            if space is None:
+                out.append((np.bincount(chunk.words()[2], minlength=chunk.count) > 0).astype(float))
+            else:
+                vectors, some = space.project(chunk)
+                out.append(np.where(some, np.clip(space.vote(vectors, sharp, neighbours), 0, 1), 0.0))
+        return pa.array(np.concatenate(out), pa.float64())
+
+    scored = docs.withColumn("score", score("text"))
+    return scored.select(*[F.col(f"`{c}`") for c in docs.columns], (crc("doc_id") % 5 == 0).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

@@ -48,7 +48,7 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.mixing import mix_sources
 
-    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "selected")
+    return mix_sources(_table(spark, sf_dir, "documents"), power=0.5, keep=0.7).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "selected")
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

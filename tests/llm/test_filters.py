@@ -4,8 +4,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from llm_texts import prose
 
+from quillspark.llm import quality as Q
+from quillspark.llm._bytes import chunks
 from quillspark.llm.quality import score_documents
 from quillspark.llm.queries import op3_repetition
 from quillspark.llm.repetition import common_prefixes, repetition_rules, suffix_array
@@ -94,3 +97,29 @@ def test_quality(spark, none):
     assert by[900]["score"] == by[901]["score"] == 0.0 and all(0 <= r["score"] <= 1 and (r["predicted"] == 1) == (r["score"] >= 0.3) for r in got)
     assert score_documents(none, labels).count() == 0
     assert {r["score"] for r in score_documents(docs.limit(3), labels.limit(0)).collect()} <= {0.0, 1.0}
+
+
+def test_quality_votes(spark):
+    """Scores are the votes of the nearest labelled vectors, against plain products; every word counts, in any script."""
+    rng = random.Random(3)
+    texts = [prose(rng, rng.randrange(5, 80)) for _ in range(60)] + ["".join(rng.choice("абвгдежз ") for _ in range(200)) for _ in range(30)] + ["".join(rng.choice("一二三四五 ") for _ in range(90)) for _ in range(30)]
+    marks = [int(i < 60 or i % 3 == 0) for i in range(120)]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)] + [(500, texts[3], "x", 1)], "doc_id long, text string, held_out string, `a b` int")
+    labels = spark.createDataFrame([(i, m) for i, m in enumerate(marks)] + [(5, marks[5])], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in score_documents(df, labels, rank=8, neighbours=7, sharp=5.0).collect()}
+    assert got[500]["score"] == got[3]["score"] and got[500]["a b"] == 1
+    taught = [i for i in range(120) if zlib.crc32(str(i).encode()) % 5]
+    chunk = next(iter(chunks(pa.array([texts[i] for i in taught]))))
+    of, term, weight = Q._terms(chunk)
+    space = Q.Space(of, term, weight, np.array([marks[i] for i in taught]) > 0, 8)
+    vectors = space.project(next(iter(chunks(pa.array(texts)))))[0]
+    for i, v in enumerate(vectors):
+        like = sorted(((float(v @ u), marks[k]) for u, k in zip(space.vectors, taught, strict=True)), reverse=True)
+        # Neighbours that tie with the last one may be chosen either way.
+        rest = [x for x in like if x[0] > like[6][0] + 1e-6]
+        if len({m for c, m in like if abs(c - like[6][0]) <= 1e-6}) == 1:
+            top = rest + [x for x in like if abs(x[0] - like[6][0]) <= 1e-6][: 7 - len(rest)]
+            w = [np.exp(5 * c) for c, _ in top]
+            assert abs(got[i]["score"] - sum(a * m for a, (_, m) in zip(w, top, strict=True)) / sum(w)) < 1e-4
+    long_words = {t for t in Q._terms(next(iter(chunks(pa.array(["electroencephalography otorhinolaryngologist"])))))[1].tolist()}
+    assert long_words != {t for t in Q._terms(next(iter(chunks(pa.array(["electroencephalographs otorhinolaryngologies"])))))[1].tolist()}

@@ -7,14 +7,15 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from llm_texts import prose
 from pyspark.sql import functions as F
 
 from quillspark.llm._order import Blocks
 from quillspark.llm.imatch import edited_fingerprints
-from quillspark.llm.licences import scan_licences, train
-from quillspark.llm.mixing import calibrate, mix_sources, rake
+from quillspark.llm.licences import LICENCE, TEMPLATES, _anchor, scan_licences, train
+from quillspark.llm.mixing import Clash, calibrate, mix_sources, rake
 from quillspark.llm.pii import personal_data
 from quillspark.llm.preference import format_preferences, preference_pairs
 
@@ -215,6 +216,92 @@ def test_licences(spark, none):
     assert scan_licences(none).count() == 0 and 0.5 <= train()[1] < 1
 
 
+MIT = """# MIT License
+#
+# Copyright (c) 2021 Somebody
+#
+# Permission is hereby granted, free of charge, to any person obtaining a copy
+# of this software and associated documentation files (the "Software"), to deal
+# in the Software without restriction, including without limitation the rights
+# to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+# copies of the Software, and to permit persons to whom the Software is
+# furnished to do so, subject to the following conditions:
+#
+# The above copyright notice and this permission notice shall be included in all
+# copies or substantial portions of the Software.
+"""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+"""
+
+
+def test_wrapped_and_unknown_licences(spark):
+    """Wrapped notices are paragraphs; licences of no family are unknown; other talk of licences is nothing."""
+    rows = [
+        (1, MIT), (2, GPL), (3, "Licensed under the Eclipse Public License 2.0"), (4, "Licensed under the GNU Affero General Public License, version 3."), (5, "Licensed under the ISC License."), (6, "Released under the Unlicense."),
+        (7, "Licensed under the Open Software License 3.0."), (8, "This work is licensed under the Harbour Public License, version 2."), (9, "Her driver's license expired in May, and she paid for a new one."),
+        (10, "one line\n\nAll rights reserved.\n\nLicensed under\nthe Mozilla\nPublic License 2.0"), (11, "This program is free software: you can modify it under the terms of the General Public tea room."),
+    ]
+    df = spark.createDataFrame([(i, t, "a", "b") for i, t in rows], "doc_id long, text string, parts string, k1 string")
+    got = {r["doc_id"]: r for r in scan_licences(df).collect()}
+    assert [got[i]["licences"] for i in (1, 2, 3, 4, 5, 6)] == ["0:MIT:1,4:MIT:1,11:MIT:1", "0:GPL:1", "0:EPL-2.0:1", "0:AGPL:1", "0:ISC:1", "0:Unlicense:1"]
+    assert [(got[i]["n_licences"], got[i]["n_unknown"]) for i in (7, 8, 9)] == [(0, 1), (0, 1), (0, 0)]
+    assert got[10]["licences"] == "2:Proprietary:1,4:MPL-2.0:1" and got[11]["n_confirmed"] == 0
+
+
+def test_licence_scan_against_plain_python(spark):
+    """Paragraphs, scores, thresholds and alignments, against loops over lines, weights and words."""
+    weights, threshold = train()
+    cut = math.log(threshold / (1 - threshold))
+    rng = random.Random(2)
+    pool = [t for ts in TEMPLATES.values() for t in ts] + [prose(rng, 9) for _ in range(30)] + ["", "--", "a licence of the software", "Licensed under the Foo License.", "public license", "no rights"]
+    rows = []
+    for i in range(120):
+        lines = []
+        for t in rng.choices(pool, k=rng.randrange(1, 7)):
+            w = [x for x in t.split() if rng.random() > 0.04]
+            lines += ["\n".join(" ".join(w[k : k + 9]) for k in range(0, len(w), 9))] if rng.random() < 0.5 else [" ".join(w)]
+        rows.append((i, rng.choice(["\n", "\n\n"]).join(lines)))
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *(max(row[j + 1], row[j] + 1) if x == y else row[j + 1] for j, y in enumerate(b))]
+            for j in range(len(b)):
+                row[j + 1] = max(row[j + 1], row[j])
+        return row[-1]
+
+    words = lambda t: [w for w in re.split("[^a-z0-9]+", t.lower()) if w]
+    anchor = re.compile(_anchor({g for w in weights.values() for g, v in w.items() if g and v > 0}))
+
+    def scan(text):
+        found, unknown, part, first = [], 0, [], None
+        lines = text.split("\n")
+        blank = [not re.search(r"[^\W_]", x) for x in lines]
+        for k, line in enumerate(lines):
+            first = k if first is None and anchor.search(line) else first
+            part.append(line)
+            if k + 1 == len(lines) or blank[k] or blank[k + 1] or re.search(r"""[.!?;][)\]"'*/ \t\r]{0,4}$""", line):
+                w = words("\n".join(part))
+                grams = {*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))}
+                z = {f: round(v[""] + sum(v.get(g, 0.0) for g in grams), 6) for f, v in weights.items()}
+                best = max((z[f], f) for f in z if f != LICENCE)
+                if first is None:
+                    pass
+                elif best[0] >= cut:
+                    sure = any(sum(common(w, words(t)[a : a + 60]) for a in range(0, len(words(t)), 60)) >= 0.85 * len(words(t)) for t in TEMPLATES[best[1]])
+                    found.append(f"{first}:{best[1]}:{int(sure)}")
+                elif z[LICENCE] >= 0:
+                    unknown += 1
+                part, first = [], None
+        return ",".join(found), unknown
+
+    for r in scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert (r["licences"], r["n_unknown"]) == scan(rows[r["doc_id"]][1]), rows[r["doc_id"]][1]
+
+
 def test_preferences(spark):
     rows = [
         (1, "chosen", 0, "user", "hi"), (1, "chosen", 1, "assistant", "A"), (1, "rejected", 0, "user", "hi"), (1, "rejected", 1, "assistant", "BB"), (1, "rejected", 2, "user", None),
@@ -236,26 +323,68 @@ def test_preference_pairs(spark):
 
 def test_rake():
     rng = np.random.default_rng(1)
-    cells = rng.random(60) * 100
-    marginals = [np.arange(60) % 3, np.arange(60) // 3 % 4, np.arange(60) // 12]
-    targets = [np.array([0.2, 0.3, 0.5]), np.full(4, 0.25), np.array([0.1, 0.1, 0.2, 0.2, 0.4])]
-    f = rake(cells, marginals, targets)
-    for cat, want in zip(marginals, targets, strict=True):
-        assert np.allclose(np.bincount(cat, cells * f) / (cells * f).sum(), want, atol=1e-6)
-    p = calibrate(cells, f, 0.5 * cells.sum())
-    assert abs((p * cells).sum() - 0.5 * cells.sum()) < 1e-6 and p.max() <= 1 and (calibrate(cells, f, cells.sum()) == 1).all()
+    table = pd.DataFrame([(s, l, t) for s in "abc" for l in ("en", "de", "fr", "es") for t in range(5)], columns=["source", "lang", "topic"])
+    table["tokens"] = (rng.random(60) * 1000).astype(int)
+    targets = {"source": {"a": 0.2, "b": 0.3, "c": 0.5}, "lang": {x: 0.25 for x in ("en", "de", "fr", "es")}, "topic": dict(enumerate((0.1, 0.1, 0.2, 0.2, 0.4)))}
+    f = rake(table, targets, 0.9)
+    now = table.tokens * f
+    for key, want in targets.items():
+        got = (now.groupby(table[key]).sum() / now.sum()).to_dict()
+        assert all(abs(got[c] - v) < 1e-6 for c, v in want.items())
+    total = float(table.tokens.sum())
+    scale = calibrate(lambda s: (table.tokens[f * s >= 1].sum(), now[f * s < 1].sum()), total, 0.5 * total)
+    p = np.minimum(1, f * scale)
+    assert abs((p * table.tokens).sum() - 0.5 * total) < 1e-6 and (f * scale > 1).any()
+    assert calibrate(lambda s: (0, 1), total, total) == float("inf")
+    # A marginal that isn't given is smoothed, and never clashes with those that are.
+    skew = pd.DataFrame([("a", "en", 0, 900), ("b", "de", 1, 90), ("c", "de", 1, 10)], columns=["source", "lang", "topic", "tokens"])
+    smooth = skew.tokens * rake(skew, {}, 0.5)
+    assert np.allclose(smooth / smooth.sum(), skew.tokens**0.5 / (skew.tokens**0.5).sum())
+    given = skew.tokens * rake(skew, {"source": {"a": 0.1, "b": 0.6, "c": 0.3, "nowhere": 5.0}}, 0.5)
+    assert np.allclose(given / given.sum(), [0.1, 0.6, 0.3])
+    with pytest.raises(Clash):
+        rake(skew, {"source": {"a": 0.1, "b": 0.6, "c": 0.3}, "lang": {"en": 0.5, "de": 0.5}}, 0.5)
+    with pytest.raises(Clash):
+        rake(skew, {"source": {"nowhere": 1.0}}, 0.5)
 
 
 def test_mixing(spark, none):
-    rows = [(i, "alpha beta gamma " * (1 + i % 5), ["en", "de", None][i % 3], ["s1", "s2"][int(i % 4 == 0)], 1) for i in range(3000)] + [(5000, None, None, None, None), (None, "x y", "en", "s1", 2)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, weight int")
+    rows = [(i, "alpha beta gamma " * (1 + i % 5), ["en", "de", None][i % 3], ["s1", "s2"][int(i % 4 == 0)], 1, "a", "b", "c") for i in range(3000)] + [(5000, None, None, None, None, "a", "b", "c"), (None, "x y", "en", "s1", 2, "a", "b", "c"), (7, "alpha beta gamma " * 3, "de", "s1", 1, "a", "b", "c"), (5001, "long " * 200_000, "en", "s1", 1, "a", "b", "c")]
+    df = spark.createDataFrame(rows[:-1], "doc_id long, text string, lang string, source string, weight int, _s string, _l string, _top string")
     got = mix_sources(df, targets={"source": {"s1": 0.8, "s2": 0.2}}, keep=0.4, topics=2).toPandas()
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) - 1 and (got._top == "c").all()
     kept = got[got.selected]
     assert abs(kept.n_tokens.sum() / got.n_tokens.sum() - 0.4) < 0.05 and abs(kept[kept.source == "s2"].n_tokens.sum() / kept.n_tokens.sum() - 0.2) < 0.05
-    assert got[got.text.isna()].n_tokens.tolist() == [0]
+    assert got[got.text.isna()].n_tokens.tolist() == [0] and set(got[got.doc_id == 7].selected) in ({True}, {False})
     again = mix_sources(df.repartition(5), targets={"source": {"s1": 0.8, "s2": 0.2}}, keep=0.4, topics=2).toPandas()
     assert sorted(again[again.selected].doc_id.dropna()) == sorted(kept.doc_id.dropna())
-    few = mix_sources(df, most_sources=1, most_languages=1, topics=2).toPandas()
-    assert len(few) == len(rows)
+    assert mix_sources(spark.createDataFrame(rows, df.schema)).where("doc_id = 5001 and n_tokens = 200000").count() == 1
     assert mix_sources(none).count() == 0
+    with pytest.raises(Clash):
+        mix_sources(df, targets={"source": {"s1": 1.0}, "lang": {"xx": 1.0}})
+
+
+def test_mixing_of_more_cells_than_the_driver_holds(spark):
+    """Many sources: nothing is merged, and joins give what the driver gives."""
+    rng = random.Random(4)
+    rows = [(i, prose(rng, rng.randrange(1, 60)), rng.choice(["en", "de"]), f"host{int(rng.random() ** 2 * 80)}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for targets in (None, {"source": {f"host{k}": 1.0 for k in range(80)}}):
+        near, far = (mix_sources(df, targets, power=0.5, keep=0.6, topics=2, held=held).toPandas().set_index("doc_id").sort_index() for held in (200_000, 0))
+        assert np.allclose(near.weight, far.weight, rtol=1e-5) and np.allclose(near.probability, far.probability, rtol=1e-5) and (near.selected == far.selected).mean() > 0.99
+        share = (far.weight * far.n_tokens).groupby(far.source).sum()
+        if targets:
+            assert np.allclose(share / share.sum(), 1 / len(share), atol=1e-6)
+
+
+def test_topics_are_those_of_the_corpus(spark):
+    """Documents of planted vocabularies come apart, whatever their source."""
+    rng = random.Random(11)
+    words = [[f"t{k}w{j}" for j in range(60)] for k in range(4)]
+    rows = []
+    for i in range(600):
+        k = i % 4
+        rows.append((i, " ".join(rng.choice(words[k]) if rng.random() < 0.6 else prose(rng, 1) for _ in range(rng.randrange(30, 90))), "en", f"s{rng.randrange(3)}"))
+    got = {r["doc_id"]: r["topic"] for r in mix_sources(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), topics=4).collect()}
+    most = [Counter(got[i] for i in range(600) if i % 4 == k).most_common(1)[0] for k in range(4)]
+    assert len({t for t, _ in most}) == 4 and sum(n for _, n in most) >= 0.95 * 600
