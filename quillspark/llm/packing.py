@@ -20,6 +20,7 @@ lengths and configurations, not the number of documents.
 from __future__ import annotations
 
 import bisect
+import functools
 import itertools
 import json
 import re
@@ -48,17 +49,44 @@ def tokenizer_spec(name: str) -> str:
 
 
 class _Index(dict):
-    """Words to their numbers; an unknown word gets the next number and is noted."""
+    """Keys to their numbers; an unknown key gets the next number and is noted."""
 
     def __init__(self):
-        self.new: list[bytes] = []
+        self.new: list = []
+        self.next = 0
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = k = len(self)
-        self.new.append(word)
+    def __missing__(self, key):
+        self[key] = k = self.next
+        self.next += 1
+        self.new.append(key)
         return k
 
 
+class _Table:
+    """Numbered keys and the ids of each, end to end."""
+
+    def __init__(self):
+        self.index = _Index()
+        self.flat = np.zeros(1 << 20, np.uint32)
+        self.begin = np.zeros(1, np.int64)
+
+    def add(self, size: np.ndarray, ids: np.ndarray) -> None:
+        """The ids of the keys that were noted since the last call, in their order."""
+        used = int(self.begin[-1])
+        while used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[used : used + len(ids)] = ids
+        self.begin = np.concatenate([self.begin, used + np.cumsum(size)])
+        self.index.new = []
+
+    def of(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these keys end to end, and how many each has."""
+        begin = self.begin[number]
+        size = self.begin[number + 1] - begin
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], size
+
+
 class WordEncoder:
     """Ids of texts by a byte-level tokenizer with word ends, which lower-cases and drops white space.
 
@@ -80,7 +108,9 @@ class WordEncoder:
     }
     MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "byte_fallback": False}
     PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-    PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+    LINE = re.compile("[ -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+    #: A space, a word that was encoded whole (its number between two marks), or a pre-token.
+    PARTS = re.compile(" |\ue000[0-9]+\ue001|'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^ a-z0-9\u00df-\u00f6\u00f8-\u00ff\ue000\ue001]+")
 
     def __init__(self, spec: str, held: int = 400_000):
         from tokenizers import Tokenizer
@@ -103,59 +133,58 @@ class WordEncoder:
         return all(spec.get(k) == v for k, v in cls.STEPS.items()) and all(spec["model"].get(k) == v for k, v in cls.MODEL.items())
 
     def _clear(self) -> None:
-        self.index = _Index()
-        self.parts: dict[str, list[int]] = {}
-        self.flat = np.zeros(1 << 20, np.uint32)
-        self.begin = np.zeros(1, np.int64)
+        self.words, self.parts = _Table(), _Table()
+        self.parts.index[" "]  # the first part has no ids
+        self.parts.add(np.zeros(1, np.int64), np.zeros(0, np.uint32))
 
     def _whole(self, text: bytes) -> list[int]:
         return self.tok.encode(text.decode(), add_special_tokens=False).ids
 
-    def _word(self, word: bytes) -> list[int]:
-        text = word.decode()
-        if not self.PLAIN.fullmatch(text):
-            return self._whole(word)
-        out: list[int] = []
-        for part in self.PARTS.findall(text.lower()):
-            got = self.parts.get(part)
-            if got is None:
-                shown = part if part.isascii() else "".join(map(self.letter.__getitem__, part.encode()))
-                got = self.parts[part] = [t.id for t in self.tok.model.tokenize(shown)]
-            out += got
-        return out
-
     def _learn(self, words: list[bytes]) -> None:
-        """Adds the ids of words that the index has just numbered."""
-        got = [self._word(w) for w in words]
-        used = int(self.begin[-1])
-        ids = np.fromiter(itertools.chain.from_iterable(got), np.uint32)
-        while used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[used : used + len(ids)] = ids
-        self.begin = np.concatenate([self.begin, used + np.cumsum([len(x) for x in got])])
+        """Adds the ids of words that the index has just numbered: all their pre-tokens at once."""
+        line, whole = b" ".join(words).decode(), {}
+        if not self.LINE.fullmatch(line):
+            split = line.split(" ")
+            for k, w in enumerate(split):
+                if not self.PLAIN.fullmatch(w):
+                    split[k] = f"\ue000{len(self.parts.index.new) + len(self.parts.begin)}{k}\ue001"
+                    whole[split[k]] = self._whole(words[k])
+            line = " ".join(split)
+        parts = self.PARTS.findall(line.lower())
+        number = np.fromiter(map(self.parts.index.__getitem__, parts), np.int64, len(parts))
+        if self.parts.index.new:
+            got = [whole[x] if x in whole else [t.id for t in self.tok.model.tokenize(x if x.isascii() else "".join(map(self.letter.__getitem__, x.encode())))] for x in self.parts.index.new]
+            self.parts.add(np.array([len(x) for x in got], np.int64), np.fromiter(itertools.chain.from_iterable(got), np.uint32))
+            for x in whole:  # a word of its own is looked up among the words
+                del self.parts.index[x]
+        flat, size = self.parts.of(number)
+        of_word = np.cumsum(number == 0)
+        self.words.add(np.bincount(of_word, size, len(words)).astype(np.int64), flat)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each UTF-8 text."""
         if not self.known:
             return [np.array(self._whole(t), np.uint32) for t in texts]
-        if len(self.index) > self.held:
+        if len(self.words.index) > self.held:
             self._clear()
         split = [[] if any(x in t for x in self.odd) else t.split() for t in texts]
-        number = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(split)), np.int64)
-        if self.index.new:
-            self._learn(self.index.new)
-            self.index.new = []
-        begin = self.begin[number]
-        size = self.begin[number + 1] - begin
-        ends = np.cumsum(size)
-        flat = self.flat[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        edge = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(x) for x in split])])]
+        number = np.fromiter(map(self.words.index.__getitem__, itertools.chain.from_iterable(split)), np.int64)
+        if self.words.index.new:
+            self._learn(self.words.index.new)
+        flat, size = self.words.of(number)
+        edge = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum([len(x) for x in split])])]
         return [flat[a:b] if b > a or not any(x in t for x in self.odd) else np.array(self._whole(t), np.uint32) for t, a, b in zip(texts, edge, edge[1:], strict=False)]
 
 
+@functools.lru_cache(maxsize=1)
+def _coder(spec: str) -> WordEncoder:
+    """One encoder for each Python worker, so that its words outlive a task."""
+    return WordEncoder(spec)
+
+
 def _cutter(spec: str, size: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordEncoder(spec)
+        coder = _coder(spec)
         tail = np.array([end_id], np.uint32)
         for batch in batches:
             ids = batch.column(0).to_pylist()
