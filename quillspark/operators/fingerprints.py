@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from quillspark.errors import EngineError
 from quillspark.functions.text import hamming
+from quillspark.operators.order import number_in_order
 from quillspark.storage import written
 
 _U = np.uint64
@@ -33,76 +37,109 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
-@F.pandas_udf(T.LongType())
-def word_hash(words: pd.Series) -> pd.Series:
-    return pd.Series(word_hashes([w.encode() for w in words]).view(np.int64))
+@F.arrow_udf(T.LongType())
+def word_hash(words: pa.Array) -> pa.Array:
+    """The policy's hash of each word, as a signed long."""
+    return pa.array(word_hashes([w.encode() for w in words.to_pylist()]).view(np.int64))
+
+
+def _bits(words: pa.Array, size: np.ndarray) -> list[int | None]:
+    """The fingerprint of each run of ``size`` words: bit i is set where words with it occur strictly more often than others."""
+    table = words.dictionary_encode()
+    hashes = word_hashes([w.encode() for w in table.dictionary.to_pylist()])[table.indices.to_numpy()]
+    out: list[int | None] = []
+    ends = np.cumsum(size)
+    a = 0
+    while a < len(size):  # some million votes at a time
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 200_000, "right")))
+        begin = ends[a:b] - size[a:b] - (ends[a - 1] if a else 0)
+        own = hashes[ends[a - 1] if a else 0 : ends[b - 1]]
+        votes = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int64)
+        some = size[a:b] > 0
+        count = np.add.reduceat(votes, begin[some], axis=0) if some.any() else np.zeros((0, 64), np.int64)
+        marks = np.packbits(2 * count > size[a:b][some][:, None], axis=1, bitorder="little").view("<i8").reshape(-1)
+        held = iter(marks.tolist())
+        out += [next(held) if x else None for x in some]
+        a = b
+    return out
+
+
+@F.arrow_udf(T.LongType())
+def simhash_of(terms: pa.Array) -> pa.Array:
+    """The fingerprint of an array of terms, with repeats; null if there are none."""
+    size = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return pa.array(_bits(pc.list_flatten(terms), size) if size.any() else [None] * len(size), pa.int64())
 
 
 def simhash(docs: DataFrame, tf: DataFrame) -> DataFrame:
-    """(doc_id, simhash long or null): bit i is 1 if terms with bit i set occur strictly more often than the others.
+    """(doc_id, simhash long or null) from term counts; documents without terms have a null fingerprint.
+
+    Where documents are at hand, ``simhash_of`` over their tokens needs no shuffle.
+    """
+    words = tf.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array_repeat("term", F.col("tf").cast("int")))).alias("terms"))
+    return docs.select("doc_id").join(words.select("doc_id", simhash_of("terms").alias("simhash")), "doc_id", "left")
+
+
+def _bands(distance: int) -> tuple[list[tuple[int, ...]], int]:
+    """Sets of blocks of the 64 bits, such that fingerprints within ``distance`` bits agree in all blocks of one of them: each leaves out ``distance`` blocks.
 
-    Only the distinct vocabulary goes through Python; documents without terms have a null fingerprint.
+    Of the numbers of blocks with at most 40 such sets the largest is taken, as its sets hold the most bits.
     """
-    vocabulary = tf.select("term").distinct().withColumn("h", word_hash("term"))
-    votes = tf.join(vocabulary, "term")
-    bit = lambda i: F.sum(F.when(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1)) == 1, F.col("tf")).otherwise(-F.col("tf")))
-    sums = votes.groupBy("doc_id").agg(*[bit(i).alias(f"b{i}") for i in range(64)])
-    value = F.lit(0).cast("long")
-    for i in range(64):
-        value = value.bitwiseOR(F.when(F.col(f"b{i}") > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return docs.select("doc_id").join(sums.select("doc_id", value.alias("simhash")), "doc_id", "left")
+    blocks = max([n for n in range(distance + 1, min(64, distance + 8) + 1) if math.comb(n, distance) <= 40] or [min(64, distance + 1)])
+    return list(itertools.combinations(range(blocks), blocks - distance)), blocks
 
 
 def near_pairs(fingerprints: DataFrame, distance: int = 3) -> DataFrame:
     """(a, b, distance): pairs of ``fingerprints`` (ordinal, simhash) with a < b that differ in at most ``distance`` bits.
 
-    64 bits are cut into distance + 1 bands; such a pair agrees in one of them, so an equi-join on bands finds it, and is kept at the first band in
-    which it agrees. Equal fingerprints are joined through their smallest member only; see ``duplicates``.
+    64 bits are cut into blocks. Such a pair agrees in all but ``distance`` of them, so an equi-join on sets of blocks finds it, and is kept at the first set
+    in which it agrees. A set holds half of the bits at a distance of 3, so that among 10**9 fingerprints hardly any others share them. Equal
+    fingerprints should be joined through their smallest member only; see ``duplicates``.
     """
     if not 0 <= distance <= 64:
         raise EngineError("duplicate.policy", "the distance must lie in 0..64")
-    bands = min(distance + 1, 64)
-    edges = [64 * k // bands for k in range(bands + 1)]
-    part = lambda c, k: F.shiftrightunsigned(c, edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1 if edges[k + 1] - edges[k] < 64 else -1).cast("long"))
-    cut = fingerprints.where("simhash is not null").select("ordinal", "simhash", F.posexplode(F.array(*[part(F.col("simhash"), k) for k in range(bands)])).alias("band", "bits"))
+    sets, blocks = _bands(min(distance, 63))
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    mask = lambda k: ((1 << (edges[k + 1] - edges[k])) - 1) << edges[k]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    masks = [signed(sum(mask(k) for k in s)) for s in sets]
+    cut = fingerprints.where("simhash is not null").select("ordinal", "simhash", F.posexplode(F.array(*[F.col("simhash").bitwiseAND(F.lit(m)) for m in masks])).alias("band", "bits"))
     x, y = cut.alias("x"), cut.alias("y")
     d = hamming(F.col("x.simhash"), F.col("y.simhash"))
     diff = F.col("x.simhash").bitwiseXOR(F.col("y.simhash"))
-    first = F.coalesce(*[F.when(part(diff, k) == 0, F.lit(k)) for k in range(bands)])
+    first = F.coalesce(*[F.when(diff.bitwiseAND(F.lit(m)) == 0, F.lit(k)) for k, m in enumerate(masks)])
     met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.ordinal") < F.col("y.ordinal")) & (d <= distance))
-    return met.where(F.col("x.band") == first).select(F.col("x.ordinal").alias("a"), F.col("y.ordinal").alias("b"), d.alias("distance")) if distance < 64 else met.select(F.col("x.ordinal").alias("a"), F.col("y.ordinal").alias("b"), d.alias("distance")).distinct()
+    if distance == 64:  # every pair is near, whether or not it shares a block
+        x, y = (fingerprints.where("simhash is not null").alias(n) for n in "xy")
+        return x.join(y, F.col("x.ordinal") < F.col("y.ordinal")).select(F.col("x.ordinal").alias("a"), F.col("y.ordinal").alias("b"), d.alias("distance"))
+    return met.where(F.col("x.band") == first).select(F.col("x.ordinal").alias("a"), F.col("y.ordinal").alias("b"), d.alias("distance"))
 
 
 def duplicates(candidates: DataFrame, distance: int = 3) -> DataFrame:
-    """(doc_id, input_path, record_ordinal, disposition, retained_id, distance) for (doc_id, input_path, record_ordinal, simhash).
+    """(doc_id, input_path, record_ordinal, disposition, retained_id, distance, comparisons) for (doc_id, input_path, record_ordinal, simhash).
 
     In (input_path, record_ordinal) order a document is a duplicate of the first earlier kept one within ``distance`` bits, else kept; without a
     fingerprint it is 'no_features'. Equal fingerprints are decided once, by their first document: the others are duplicates of whatever decides it. The order
-    is resolved in rounds: a fingerprint is kept once all its earlier neighbours are out, and out once one of them is kept.
+    is resolved in rounds: a fingerprint is kept once all its earlier neighbours are out, and out once one of them is kept. ``comparisons`` is how many kept
+    documents a scan in that order looks at: all before it for a kept one, up to the one that decides for a duplicate.
     """
     spark: SparkSession = candidates.sparkSession
     candidates = written(spark, candidates)
     ranked = candidates.withColumn("place", F.struct("input_path", "record_ordinal", "doc_id"))
     heads = ranked.where("simhash is not null").groupBy("simhash").agg(F.min("place").alias("place"))
-    # Ranks of distinct fingerprints: inside each path, after the paths before.
-    paths = heads.groupBy("place.input_path").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("input_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    paths = paths.select(F.col("input_path").alias("path"), before.alias("before"))
-    inner = F.row_number().over(Window.partitionBy("place.input_path").orderBy("place"))
-    heads = heads.withColumn("path", F.col("place.input_path")).withColumn("k", inner).join(paths, "path").select("simhash", "place", (F.col("before") + F.col("k")).cast("long").alias("ordinal"))
-    heads = written(spark, heads)
+    heads = written(spark, number_in_order(heads, "place", "ordinal"))
     edges = written(spark, near_pairs(heads.select("ordinal", "simhash"), distance))
     state = heads.select("ordinal", F.lit(None).cast("boolean").alias("kept"))
     while True:
         seen = edges.join(state.select(F.col("ordinal").alias("a"), "kept"), "a").groupBy(F.col("b").alias("ordinal")).agg(F.bool_or("kept").alias("beaten"), F.bool_or(F.col("kept").isNull()).alias("waits"))
         state = written(spark, state.join(seen, "ordinal", "left").select("ordinal", F.coalesce("kept", F.when(F.coalesce("beaten", F.lit(False)), False).when(~F.coalesce("waits", F.lit(False)), True)).alias("kept")))
-        if not state.where("kept is null").limit(1).count():
+        if state.where("kept is null").isEmpty():
             break
-    kept = state.where("kept").select("ordinal")
+    kept = written(spark, number_in_order(state.where("kept").select("ordinal"), "ordinal", "before"))
     by = edges.join(kept.select(F.col("ordinal").alias("a")), "a").groupBy(F.col("b").alias("ordinal")).agg(F.min(F.struct("a", "distance")).alias("by"))
     told = heads.join(state, "ordinal").join(by, "ordinal", "left").select("ordinal", "simhash", "place", "kept", F.col("by.a").alias("a"), F.col("by.distance").alias("d"))
-    owner = heads.select(F.col("ordinal").alias("a"), F.col("place.doc_id").alias("owner"))
-    told = told.join(owner, "a", "left").select("simhash", F.col("place").alias("head"), "kept", "owner", "d")
+    owner = heads.select(F.col("ordinal").alias("a"), F.col("place.doc_id").alias("owner")).join(kept.select(F.col("ordinal").alias("a"), F.col("before").alias("owner_before")), "a")
+    told = told.join(owner, "a", "left").join(kept, "ordinal", "left").select("simhash", F.col("place").alias("head"), "kept", "owner", "d", "before", "owner_before")
     out = ranked.join(told, "simhash", "left")
     first = F.col("place") == F.col("head")
     return out.select(
@@ -110,9 +147,10 @@ def duplicates(candidates: DataFrame, distance: int = 3) -> DataFrame:
         F.when(F.col("simhash").isNull(), "no_features").when(F.col("kept") & first, "kept").otherwise("duplicate").alias("disposition"),
         F.when(F.col("simhash").isNull() | (F.col("kept") & first), None).when(F.col("kept"), F.col("head.doc_id")).otherwise(F.col("owner")).alias("retained_id"),
         F.when(F.col("simhash").isNull() | (F.col("kept") & first), None).when(F.col("kept"), F.lit(0).cast("long")).otherwise(F.col("d")).alias("distance"),
+        F.when(F.col("simhash").isNull(), F.lit(0).cast("long")).when(F.col("kept") & first, F.col("before")).when(F.col("kept"), F.col("before") + 1).otherwise(F.col("owner_before") + 1).alias("comparisons"),
     )
 
 
 def decision_counts(decisions: DataFrame) -> DataFrame:
-    """(disposition, documents)."""
-    return decisions.groupBy("disposition").agg(F.count("*").alias("documents"))
+    """(disposition, documents, comparisons)."""
+    return decisions.groupBy("disposition").agg(F.count("*").alias("documents"), F.sum("comparisons").alias("comparisons"))

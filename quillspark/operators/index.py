@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from quillspark.operators.order import number_in_order
 from quillspark.operators.terms import document_frequency, term_frequency
+from quillspark.storage import at_most, written
 
 
 @dataclass(frozen=True)
@@ -46,19 +47,38 @@ def corpus_statistics(stats: DataFrame) -> DataFrame:
 
 
 def posting_lists(tf: DataFrame) -> DataFrame:
-    """(term, postings array<struct<doc_id, tf>>), ascending by doc_id."""
+    """(term, postings array<struct<doc_id, tf>>), ascending by doc_id. A whole list is one row: for frequent terms see ``posting_blocks``."""
     return tf.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
 
 
+def posting_blocks(tf: DataFrame, size: int = 4096) -> DataFrame:
+    """(term, block, postings): the lists in blocks of ``size`` ids, so that no row holds more than that, however frequent a term is."""
+    return tf.groupBy("term", F.floor(F.col("doc_id") / F.lit(size)).cast("long").alias("block")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
+
+
+def term_bytes(tf: DataFrame) -> DataFrame:
+    """One row: distinct_terms, vocabulary_bytes, longest_term (bytes), postings and the longest list, as limits are checked against."""
+    each = tf.groupBy("term").agg(F.count("*").alias("n")).select(F.octet_length("term").cast("long").alias("b"), "n")
+    zero = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
+    return each.agg(F.count("*").alias("distinct_terms"), zero(F.sum("b"), "vocabulary_bytes"), zero(F.max("b"), "longest_term"), zero(F.sum("n"), "postings"), zero(F.max("n"), "longest_list"))
+
+
 def valid_postings(postings: DataFrame) -> DataFrame:
     """(term_id, ok): doc_ids strictly increase in each list and counts are positive."""
     last = F.lag("doc_id").over(Window.partitionBy("term_id").orderBy("doc_id"))
     return postings.select("term_id", ((F.col("tf") > 0) & (last.isNull() | (F.col("doc_id") > last))).alias("good")).groupBy("term_id").agg(F.bool_and("good").alias("ok"))
 
 
-def weighted(tf: DataFrame, n_docs: int) -> DataFrame:
-    """(doc_id, term, tf, idf, w) with w = tf * idf."""
-    counts = document_frequency(tf)
+#: A table of document frequencies with at most so many terms is broadcast.
+BROADCAST_TERMS = 1_000_000
+
+
+def weighted(tf: DataFrame, n_docs: int, counts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, term, tf, df, idf, w) with w = tf * idf. ``counts`` (term, df) may be given, and is then broadcast if it is small."""
+    if counts is None:
+        counts = document_frequency(tf)
+    elif at_most(counts, BROADCAST_TERMS):
+        counts = F.broadcast(counts)
     return tf.join(counts, "term").withColumn("idf", idf(n_docs, F.col("df"))).withColumn("w", F.col("tf") * F.col("idf"))
 
 
@@ -71,13 +91,37 @@ def norms(w: DataFrame, exact: bool = False) -> DataFrame:
 
 
 def build_index(docs: DataFrame, tok: str = "english", stop_words: tuple[str, ...] = (), text: str = "content", exact: bool = False) -> Index:
-    """The index over ``docs`` (doc_id, text); documents without terms count in N."""
-    tf = term_frequency(docs, tok, stop_words, ("doc_id",), text)
+    """The index over ``docs`` (doc_id, text); documents without terms count in N.
+
+    Documents are tokenised once: the term counts are written to the shared folder, and so is the lexicon.
+    """
+    spark = docs.sparkSession
+    tf = written(spark, term_frequency(docs, tok, stop_words, ("doc_id",), text))
     n = docs.count()
-    w = weighted(tf, n)
+    counts = written(spark, document_frequency(tf))
+    w = weighted(tf, n, counts)
     length = norms(w, exact)
-    words = w.groupBy("term").agg(F.first("df").alias("df"), F.first("idf").alias("idf"))
-    lex = number_in_order(words, "term", "term_id").select("term_id", "term", "df", "idf")
-    posts = w.join(length, "doc_id").join(lex.select("term_id", "term"), "term").select("term_id", "term", "doc_id", "tf", (F.col("w") / F.col("norm")).alias("weight"))
+    lex = written(spark, number_in_order(counts, "term", "term_id").select("term_id", "term", "df", idf(n, F.col("df")).alias("idf")))
+    ids = F.broadcast(lex.select("term_id", "term")) if at_most(lex, BROADCAST_TERMS) else lex.select("term_id", "term")
+    posts = w.join(length, "doc_id").join(ids, "term").select("term_id", "term", "doc_id", "tf", (F.col("w") / F.col("norm")).alias("weight"))
     stats = document_statistics(docs, tf).join(length, "doc_id", "left").withColumn("norm", F.coalesce("norm", F.lit(0.0)))
     return Index(lex, posts, stats, n)
+
+
+def weight_of(index: Index, term: str, doc_id: int) -> float | None:
+    """The weight of a term in a document; none if the term is unknown or isn't in it."""
+    ids = index.lexicon.where(F.col("term") == term).select("term_id")
+    row = index.postings.select("term_id", "doc_id", "weight").where(F.col("doc_id") == doc_id).join(F.broadcast(ids), "term_id").first()
+    return row["weight"] if row else None
+
+
+def idf_of(index: Index, term: str) -> float | None:
+    """A term's inverse document frequency; none if it is unknown."""
+    row = index.lexicon.where(F.col("term") == term).select("idf").first()
+    return row["idf"] if row else None
+
+
+def norm_of(index: Index, doc_id: int) -> float | None:
+    """A document's norm: 0 without terms, none if it is unknown."""
+    row = index.doc_stats.where(F.col("doc_id") == doc_id).select("norm").first()
+    return row["norm"] if row else None

@@ -1,21 +1,29 @@
-"""Consecutive numbers in sorted order, without sorting everything in one task."""
+"""Consecutive numbers and running sums in sorted order, without sorting everything in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark.storage import written
 
-def number_in_order(df: DataFrame, key: str, name: str, parts: int | None = None) -> DataFrame:
-    """Adds ``name``: the rank from 0 of each distinct value of ``key`` (a string, byte order).
 
-    Values are cut into groups by their first two characters; each group is ranked on its own, after all smaller groups. The global
-    step sees one row per group. A group of a hot prefix is ranked by a window that spills.
+def sums_before(df: DataFrame, keys: list[str], amount: Column, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``amount`` over all rows with smaller ``keys`` (which no two rows share).
+
+    Rows are cut into ranges of the keys at sampled bounds, whatever prefixes they share, and written with their range's number. One task sees one row per
+    range; inside a range a window adds up.
     """
-    cut = df.withColumn("_head", F.substring(key, 1, 2))
-    heads = cut.groupBy("_head").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    heads = heads.select("_head", before.alias("_before"))
-    ranked = cut.withColumn("_k", F.row_number().over(Window.partitionBy("_head").orderBy(key)) - 1)
-    return ranked.join(heads, "_head").withColumn(name, (F.col("_before") + F.col("_k")).cast("long")).drop("_head", "_k", "_before")
+    ranged = written(df.sparkSession, df.withColumn("_amount", amount).repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
+    totals = ranged.groupBy("_range").agg(F.sum("_amount").alias("_total"))
+    before = F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    inner = F.sum("_amount").over(Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1))
+    placed = ranged.withColumn("_inner", F.coalesce(inner, F.lit(0))).join(F.broadcast(totals), "_range")
+    return placed.withColumn(name, (F.col("_before") + F.col("_inner")).cast("long")).drop("_range", "_amount", "_inner", "_before")
+
+
+def number_in_order(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Adds ``name``: the rank from 0 of each distinct value of ``key`` (byte order for strings)."""
+    return sums_before(df, [key], F.lit(1), name)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as X
 from quillspark.operators import display, fingerprints, index, search, suggest, terms
 from quillspark.sources import files, html
+from quillspark.storage import written
 from quillspark.streaming import requests as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +57,31 @@ def _weighted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return w, index.norms(w)
 
 
+_BUILT: dict[tuple, object] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, what: str, make: Callable[[], object]):
+    """What is built once for a table and then asked many times, as an index is: its tables lie in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _BUILT:
+        _BUILT[key] = make()
+    return _BUILT[key]
+
+
+def _index(spark: SparkSession, sf_dir: str) -> index.Index:
+    def make() -> index.Index:
+        built = index.build_index(_docs(spark, sf_dir))
+        # Postings lie in order of terms, so that a lookup of a few terms reads a few row groups.
+        kept = lambda df, by: written(spark, df.repartitionByRange(by).sortWithinPartitions(by))
+        return index.Index(kept(built.lexicon, "term"), kept(built.postings, "term_id"), written(spark, built.doc_stats), built.n_docs)
+
+    return _once(spark, sf_dir, "index", make)
+
+
+def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir, "dictionary", lambda: written(spark, suggest.dictionary(terms.recommendation_frequency(_tf(spark, sf_dir)))))
+
+
 def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
 
@@ -84,22 +110,7 @@ SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITIO
 
 
 def _search(spark: SparkSession, sf_dir: str, queries: DataFrame, mode: str, k: int) -> DataFrame:
-    # No term ids are needed for one job: postings are joined by term, and only those of the queries' terms are weighted.
-    docs = _docs(spark, sf_dir)
-    w, length = _weighted(spark, sf_dir)
-    asked = search.query_terms(queries)
-    total = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    small = asked.limit(search.BROADCAST_ROWS + 1).count() <= search.BROADCAST_ROWS
-    side = F.broadcast(asked.withColumnRenamed("tf", "qtf")) if small else asked.withColumnRenamed("tf", "qtf")
-    hits = w.join(side, "term").join(length, "doc_id")
-    counts = terms.document_frequency(_tf(spark, sf_dir)).join(side, "term").withColumn("q", F.col("qtf") * index.idf(docs.count(), F.col("df")))
-    q_norm = counts.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
-    part = F.col("qtf") * F.col("idf") * F.col("w") / F.col("norm")
-    scored = hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("dot"), F.count("*").alias("n"))
-    scored = scored.join(F.broadcast(q_norm) if small else q_norm, "query_id").join(F.broadcast(total) if small else total, "query_id")
-    if mode == "and":
-        scored = scored.where("n = n_terms")
-    return search.top_k(scored.select("query_id", "doc_id", F.round(F.least(F.col("dot") / F.col("q_norm"), F.lit(1.0)), 9).alias("score")), k)
+    return search.search(_index(spark, sf_dir), queries, mode, k, digits=9)
 
 
 # --- text ---
@@ -202,9 +213,9 @@ def normalized_weights(spark, sf_dir):
 # --- search ---
 
 def _candidates(spark, sf_dir, mode, queries=None):
-    known = search.known_terms(search.query_terms(_fixed(spark) if queries is None else queries), index.lexicon(_tf(spark, sf_dir)).withColumn("df", F.lit(0)).withColumn("idf", F.lit(0.0)))
-    posts = _tf(spark, sf_dir).join(index.lexicon(_tf(spark, sf_dir)), "term")
-    return search.candidates(known, posts, mode)
+    built = _index(spark, sf_dir)
+    known = search.known_terms(search.query_terms(_fixed(spark) if queries is None else queries), built.lexicon)
+    return search.candidates(known, built.postings, mode)
 
 
 _QT = f"qt AS (SELECT query_id, term FROM (SELECT DISTINCT query_id, unnest(regexp_extract_all({_FOLD.format('text')}, '[A-Za-z0-9]+')) AS term FROM q))"
@@ -301,15 +312,14 @@ _KEYS = [(1, "lantrn"), (2, "the"), (3, "thng"), (4, "zq9"), (5, "THE")]
 k AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{w}')" for i, w in _KEYS)}) AS v(query_id, key)), c AS (SELECT query_id, key, term, term_id, frequency, levenshtein(key, term) AS distance FROM k, i WHERE len(list_intersect(string_split(key, ''), string_split(term, ''))) > 0)
 SELECT query_id, rank, term_id, term, distance, frequency FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, frequency DESC, term) AS rank FROM c) WHERE rank <= 10""")
 def suggest_topk(spark, sf_dir):
-    words = suggest.dictionary(terms.recommendation_frequency(_tf(spark, sf_dir)))
-    return suggest.suggest(spark.createDataFrame(_KEYS, "query_id long, key string"), words, 10)
+    return suggest.suggest(spark.createDataFrame(_KEYS, "query_id long, key string"), _dictionary(spark, sf_dir), 10)
 
 
 @_register("suggest_table_topk", f"""WITH {_TOK}, t AS (SELECT term, count(*) AS frequency FROM tok GROUP BY term), i AS (SELECT *, row_number() OVER (ORDER BY term) - 1 AS term_id FROM t),
 k AS (SELECT term_id AS query_id, term AS key FROM i WHERE term_id % 100 = 0), c AS (SELECT query_id, key, i.term, i.term_id, frequency, levenshtein(key, i.term) AS distance FROM k, i WHERE len(list_intersect(string_split(key, ''), string_split(i.term, ''))) > 0)
 SELECT query_id, rank, term_id, term, distance, frequency FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, frequency DESC, term) AS rank FROM c) WHERE rank <= 10""")
 def suggest_table_topk(spark, sf_dir):
-    words = suggest.dictionary(terms.recommendation_frequency(_tf(spark, sf_dir)))
+    words = _dictionary(spark, sf_dir)
     return suggest.suggest(words.where("term_id % 100 = 0").select(F.col("term_id").alias("query_id"), F.col("term").alias("key")), words, 10)
 
 
@@ -325,7 +335,7 @@ sim AS (SELECT doc_id, bit_or(CASE WHEN s > 0 THEN 1::UBIGINT << i::UBIGINT ELSE
 
 def _simhash(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    return docs.select("doc_id", "input_path").join(fingerprints.simhash(docs, terms.term_frequency(docs)), "doc_id")
+    return terms.tokens(docs, keys=("doc_id", "input_path")).select("doc_id", "input_path", fingerprints.simhash_of("terms").alias("simhash"))
 
 
 @_register("simhash64", f"WITH {_SIM} SELECT doc_id, CASE WHEN simhash IS NULL THEN NULL ELSE lpad(format('{{:x}}', simhash), 16, '0') END AS simhash FROM documents LEFT JOIN sim USING (doc_id)")
@@ -350,22 +360,25 @@ def hamming_classes(spark, sf_dir):
     return made.join(classes, "simhash", "left").select("doc_id", F.col("ordinal").alias("representative"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
-_GREEDY = f"""WITH RECURSIVE {_SIM}, o AS (SELECT d.doc_id, d.source AS input_path, simhash, row_number() OVER (ORDER BY d.source, d.doc_id) AS rn FROM documents d LEFT JOIN sim USING (doc_id)),
-r AS (SELECT 0::BIGINT AS rn, []::STRUCT(h UBIGINT, id BIGINT)[] AS kept, NULL::BIGINT AS doc_id, NULL::VARCHAR AS input_path, NULL::UBIGINT AS simhash, NULL::STRUCT(h UBIGINT, id BIGINT) AS hit
-UNION ALL SELECT o.rn, CASE WHEN o.simhash IS NOT NULL AND list_filter(r.kept, lambda k: bit_count(xor(k.h, o.simhash)) <= 3)[1] IS NULL THEN list_append(r.kept, {{'h': o.simhash, 'id': o.doc_id}}) ELSE r.kept END, o.doc_id, o.input_path, o.simhash, list_filter(r.kept, lambda k: bit_count(xor(k.h, o.simhash)) <= 3)[1] FROM r JOIN o ON o.rn = r.rn + 1),
-dec AS (SELECT doc_id, input_path, CASE WHEN simhash IS NULL THEN 'no_features' WHEN hit IS NULL THEN 'kept' ELSE 'duplicate' END AS disposition, hit.id AS retained_id, bit_count(xor(hit.h, simhash))::BIGINT AS distance FROM r WHERE rn > 0)"""
+_KEPT = "list_filter(a, lambda k: k.hit IS NULL)"
+_GREEDY = f"""WITH {_SIM}, o AS (SELECT d.doc_id, simhash AS h FROM documents d JOIN sim USING (doc_id) ORDER BY d.source, d.doc_id),
+l AS (SELECT list([{{'id': doc_id, 'h': h, 'hit': NULL::BIGINT, 'd': NULL::BIGINT, 'n': 0::BIGINT}}] ORDER BY (SELECT d.source FROM documents d WHERE d.doc_id = o.doc_id), doc_id) AS l FROM o),
+r AS (SELECT unnest(list_reduce(list_prepend([{{'id': NULL::BIGINT, 'h': NULL::UBIGINT, 'hit': -1::BIGINT, 'd': NULL::BIGINT, 'n': 0::BIGINT}}], l), lambda a, x: list_append(a, list_transform([{_KEPT}], lambda kept:
+  list_transform([coalesce(list_position(list_transform(kept, lambda k: bit_count(xor(k.h, x[1].h)) <= 3), true), 0)], lambda p:
+  {{'id': x[1].id, 'h': x[1].h, 'hit': CASE WHEN p > 0 THEN kept[p].id END, 'd': CASE WHEN p > 0 THEN bit_count(xor(kept[p].h, x[1].h))::BIGINT END, 'n': (CASE WHEN p > 0 THEN p ELSE len(kept) END)::BIGINT}})[1])[1]))) AS x FROM l),
+dec AS (SELECT documents.doc_id, source AS input_path, CASE WHEN x.id IS NULL THEN 'no_features' WHEN x.hit IS NULL THEN 'kept' ELSE 'duplicate' END AS disposition, x.hit AS retained_id, x.d AS distance, coalesce(x.n, 0) AS comparisons FROM documents LEFT JOIN r ON r.x.id = documents.doc_id)"""
 
 
 def _decisions(spark, sf_dir):
     return fingerprints.duplicates(_simhash(spark, sf_dir).withColumn("record_ordinal", F.col("doc_id")), 3)
 
 
-@_register("dedup_decisions", _GREEDY + " SELECT doc_id, disposition, retained_id, distance FROM dec")
+@_register("dedup_decisions", _GREEDY + " SELECT doc_id, disposition, retained_id, distance, comparisons FROM dec")
 def dedup_decisions(spark, sf_dir):
-    return _decisions(spark, sf_dir).select("doc_id", "disposition", "retained_id", "distance")
+    return _decisions(spark, sf_dir).select("doc_id", "disposition", "retained_id", "distance", "comparisons")
 
 
-@_register("dedup_counts", _GREEDY + " SELECT disposition, count(*) AS documents FROM dec GROUP BY disposition")
+@_register("dedup_counts", _GREEDY + " SELECT disposition, count(*) AS documents, sum(comparisons)::BIGINT AS comparisons FROM dec GROUP BY disposition")
 def dedup_counts(spark, sf_dir):
     return fingerprints.decision_counts(_decisions(spark, sf_dir))
 

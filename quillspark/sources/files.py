@@ -8,10 +8,10 @@ from xml.parsers import expat
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillspark.errors import EngineError
 from quillspark.functions.text import file_stem, is_blank, strip_bom, unix_newlines
+from quillspark.operators.order import sums_before
 from quillspark.schemas import READ_ITEMS
 from quillspark.sources.html import fragment_text
 
@@ -169,8 +169,7 @@ def until_failure(items: DataFrame) -> DataFrame:
 def documents(items: DataFrame) -> DataFrame:
     """Delivered documents with ids: paths in byte order; each takes as many ids as it has items, one at least, whether or not they were delivered."""
     paths = items.groupBy("input_path").agg((F.max("record_ordinal") + 1).alias("n"))
-    base = F.coalesce(F.sum("n").over(Window.orderBy("input_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    paths = paths.select("input_path", base.alias("base"))
+    paths = sums_before(paths, ["input_path"], F.col("n"), "base").select("input_path", "base")
     out = items.where("record is not null").join(paths, "input_path")
     return out.select((F.col("base") + F.col("record_ordinal")).cast("long").alias("doc_id"), "input_path", "record_ordinal", "record.kind", "record.title", "record.content", "record.url", "record.author", "record.published_at_raw")
 
