@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,16 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(n.astype(np.int64)), pa.array(bags, pa.binary()), part.column(0), part.column(1)], names=["n_tokens", "bag", "source", "lang"])
 
 
+def _slices(bags: pa.Array, entries: int = 200_000) -> Iterator[pa.Array]:
+    """The bags in slices of about so many entries, as every entry becomes a row of numbers."""
+    edge = np.cumsum(pc.fill_null(pc.binary_length(bags), 0).to_numpy(zero_copy_only=False).astype(np.int64) // 4)
+    at = 0
+    while at < len(bags):
+        to = max(at + 1, int(np.searchsorted(edge, (edge[at - 1] if at else 0) + entries, "right")))
+        yield bags.slice(at, to - at)
+        at = to
+
+
 def _unpacked(bags: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     blobs = bags.to_pylist()
     size = np.array([len(b) // 4 for b in blobs], np.int64)
@@ -78,7 +89,8 @@ def _loads(of: np.ndarray, word: np.ndarray, w: np.ndarray, basis: np.ndarray, n
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(WORDS, np.int64)
     for batch in batches:
-        total += np.bincount(_unpacked(batch.column(0))[1], minlength=WORDS)
+        for bags in _slices(batch.column(0)):
+            total += np.bincount(_unpacked(bags)[1], minlength=WORDS)
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["word", "n"])
 
@@ -89,11 +101,10 @@ def _spreader(idf: np.ndarray, basis: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((WORDS, r), np.int64)
-        for batch in batches:
-            of, word, count = _unpacked(batch.column(0))
-            n = batch.num_rows
-            w = _weights(of, word, count, idf, n)
-            loads = _loads(of, word, w, basis, n)
+        for bags in (part for batch in batches for part in _slices(batch.column(0))):
+            of, word, count = _unpacked(bags)
+            w = _weights(of, word, count, idf, len(bags))
+            loads = _loads(of, word, w, basis, len(bags))
             for j in range(r):
                 # Rounded entry by entry, so that the sum is the same in any order.
                 total[:, j] += np.bincount(word, np.rint(w * loads[of, j] * _SCALE), WORDS).astype(np.int64)
@@ -157,8 +168,11 @@ def _topics_of_bags(idf: np.ndarray, loads: np.ndarray):
     """The same topics, from bags."""
     @F.arrow_udf("int")
     def run(bags: pa.Array) -> pa.Array:
-        of, word, count = _unpacked(bags)
-        return pa.array(_loads(of, word, _weights(of, word, count, idf, len(bags)), loads, len(bags)).argmax(1).astype(np.int32))
+        best = [np.zeros(0, np.int32)]
+        for part in _slices(bags):
+            of, word, count = _unpacked(part)
+            best.append(_loads(of, word, _weights(of, word, count, idf, len(part)), loads, len(part)).argmax(1).astype(np.int32))
+        return pa.array(np.concatenate(best))
     return run
 
 
