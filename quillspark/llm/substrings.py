@@ -347,18 +347,20 @@ def remove_repeats(docs: DataFrame, span: int = 50, key: int = 20, flush: int =
         docs = docs.withColumn("sub", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("text")) - 1)
 
     parsed = docs.where("doc_id is not null").select("doc_id", "sub", "text").mapInArrow(_parser(span, key, buckets, doc_buckets, flush), _ROWS)
-    met = parsed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_dictionary(span, doc_buckets), _ROWS)
+    # A bucket is a task of its own, so a task's input is bounded by what a bucket is meant to hold.
+    dealt = lambda rows, n: rows.repartitionById(n, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
+    met = dealt(parsed, max(buckets, doc_buckets)).mapInArrow(_dictionary(span, doc_buckets), _ROWS)
     told = space.save(met, "told")
     free_shuffles(spark)
 
     # The texts and the entries that ask for them, by bucket of documents.
     placed = docs.select(F.lit(9).alias("kind"), F.pmod("doc", F.lit(doc_buckets).cast("long")).alias("bucket"), F.encode("text", "UTF-8").alias("data"), "doc", "sub", "doc_id")
     entry = lambda df: df.select("kind", "bucket", "data", F.lit(0).cast("long").alias("doc"), F.lit(0).alias("sub"), F.lit(None).cast("long").alias("doc_id"))
-    asked = placed.where("doc_id is not null").unionByName(entry(told.where("kind = 2"))).repartition("bucket").sortWithinPartitions("bucket")
-    ctx = asked.mapInArrow(_contexts(span, key, buckets), _ROWS)
-    more = ctx.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_orderer(span, key, doc_buckets), _ROWS)
+    asked = placed.where("doc_id is not null").unionByName(entry(told.where("kind = 2")))
+    ctx = dealt(asked, doc_buckets).mapInArrow(_contexts(span, key, buckets), _ROWS)
+    more = dealt(ctx, buckets).mapInArrow(_orderer(span, key, doc_buckets), _ROWS)
     more = space.save(more, "more")
     free_shuffles(spark)
 
     covers = entry(told.where("kind = 1")).unionByName(entry(more))
-    return placed.unionByName(covers).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_remover, _OUT)
+    return dealt(placed.unionByName(covers), doc_buckets).mapInArrow(_remover, _OUT)
