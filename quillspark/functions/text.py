@@ -29,7 +29,8 @@ def normalize(c: Column | str) -> Column:
 
 
 @F.arrow_udf(T.LongType())
-def _first_invalid(data: pa.Array) -> pa.Array:
+def first_invalid(data: pa.Array) -> pa.Array:
+    """The place of the first byte that isn't UTF-8; null if there is none."""
     out = []
     for b in data.to_pylist():
         try:
@@ -52,7 +53,7 @@ def checked_normalize(data: Column | str, most_in: int | None = None, most_out:
     long_in = F.octet_length(data) > most_in if most_in is not None else F.lit(False)
     long_out = F.octet_length(out) > most_out if most_out is not None else F.lit(False)
     context = F.when(long_in, "normalize.input_bytes").when(text.isNull() & data.isNotNull(), "normalize.utf8").when(text.contains("\0"), "normalize.nul").when(long_out, "normalize.output_bytes")
-    offset = _first_invalid(F.when(context == "normalize.utf8", data))
+    offset = first_invalid(F.when(context == "normalize.utf8", data))
     return F.struct(F.when(context.isNull(), out).alias("text"), context.alias("context"), F.when(context == "normalize.nul", F.octet_length(F.substring_index(text, "\0", 1)).cast("long")).otherwise(offset).alias("byte_offset"))
 
 

@@ -9,9 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quillspark import limits, service
+from quillspark.errors import EngineError
 from quillspark.functions import text as X
 from quillspark.operators import display, fingerprints, index, search, suggest, terms
 from quillspark.sources import files, html
@@ -467,14 +471,60 @@ def lru_replay(spark, sf_dir):
     return R.replay_cache(log, 8)
 
 
+@F.arrow_udf(T.LongType())
+def _status(bodies: pa.Array) -> pa.Array:
+    out = []
+    for body in bodies.to_pylist():
+        try:
+            service.parse_request("SEARCH", body, service.Settings())
+            out.append(service.OK)
+        except EngineError as e:
+            out.append(service.status_of(e))
+    return pa.array(out, pa.int64())
+
+
 @_register("request_validation", "SELECT conv_id, turn, CASE WHEN turn * 30 > 100 THEN 6 WHEN turn = 0 OR turn % 2 = 1 THEN 1 ELSE 0 END AS status FROM conversations WHERE role = 'user'")
 def request_validation(spark, sf_dir):
     talk = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'")
     body = F.to_json(F.struct(F.col("text").alias("query"), (F.col("turn") * 30).alias("top_k"), F.when(F.col("turn") % 2 == 1, "xor").otherwise("or").alias("mode")))
-    got = talk.select("conv_id", "turn", F.from_json(body, "query string, top_k long, mode string, window long, context long").alias("r"))
-    top, window, context = F.coalesce("r.top_k", F.lit(10)), F.coalesce("r.window", F.lit(160)), F.coalesce("r.context", F.lit(40))
-    bad = F.col("r.query").isNull() | (top < 1) | ~F.coalesce("r.mode", F.lit("or")).isin("or", "and") | ~window.between(1, 4096) | (context >= window)
-    return got.select("conv_id", "turn", F.when(top > 100, 6).when(bad, 1).otherwise(0).cast("long").alias("status"))
+    return talk.select("conv_id", "turn", _status(body).alias("status"))
+
+
+@_register("one_in_flight", """WITH w AS (SELECT event_id, user_id, epoch_us(ts) AS a, floor(value * 1000)::BIGINT AS m, sum(floor(value * 1000)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM events)
+SELECT x.event_id AS request_id, (SELECT max(y.a + x.s - y.s + y.m) FROM w y WHERE y.user_id = x.user_id AND (y.a, y.event_id) <= (x.a, x.event_id))::BIGINT AS finish FROM w x""")
+def one_in_flight(spark, sf_dir):
+    log = _log(spark, sf_dir).withColumn("arrival", F.unix_micros("ts"))
+    return R.one_in_flight(log).select("request_id", "finish")
+
+
+@_register("due_deadlines", "SELECT user_id AS key, arg_max(floor(value * 1000)::BIGINT, event_id) AS \"when\" FROM events GROUP BY user_id HAVING arg_max(floor(value * 1000)::BIGINT, event_id) <= 50000")
+def due_deadlines(spark, sf_dir):
+    log = _log(spark, sf_dir).select(F.col("request_id").alias("seq"), F.col("conn_id").alias("key"), F.col("micros").alias("when"))
+    return R.due_deadlines(log, 50_000)
+
+
+@_register("checksums", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def checksums(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.sha2("content", 256).alias("sha256"))
+
+
+@_register("posting_blocks", f"WITH {_TF} SELECT term, doc_id // 256 AS block, count(*) AS postings, md5(string_agg(doc_id::VARCHAR || ':' || tf::VARCHAR, ' ' ORDER BY doc_id)) AS digest FROM tf GROUP BY ALL")
+def posting_blocks(spark, sf_dir):
+    blocks = index.posting_blocks(_tf(spark, sf_dir), 256)
+    return blocks.select("term", "block", F.size("postings").cast("long").alias("postings"), F.md5(F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["doc_id"], p["tf"])), " ")).alias("digest"))
+
+
+@_register("term_budgets", f"WITH {_TF}, e AS (SELECT term, count(*) AS n FROM tf GROUP BY term) SELECT count(*) AS distinct_terms, sum(strlen(term))::BIGINT AS vocabulary_bytes, max(strlen(term)) AS longest_term, sum(n)::BIGINT AS postings, max(n) AS longest_list FROM e")
+def term_budgets(spark, sf_dir):
+    return index.term_bytes(_tf(spark, sf_dir))
+
+
+@_register("item_admission", "SELECT doc_id, text_before, fault FROM (SELECT doc_id, sum(b) OVER (ORDER BY source, doc_id) - b AS text_before, CASE WHEN sum(b) OVER (ORDER BY source, doc_id) > 1000000 THEN 'item.text_bytes' END AS fault FROM (SELECT doc_id, source, strlen(text) + strlen(source) AS b FROM documents))")
+def item_admission(spark, sf_dir):
+    record = F.struct(F.col("input_path").alias("title"), "content", *[F.lit("").alias(c) for c in ("kind", "url", "author", "published_at_raw")])
+    items = _docs(spark, sf_dir).select("input_path", F.col("doc_id").alias("record_ordinal"), F.lit("success").alias("status"), record.alias("record"), F.array().cast("array<struct<code:string,message:string,region:string>>").alias("issues"))
+    told = limits.admit_items(items, limits.Limits(text_bytes=1_000_000))
+    return told.select(F.col("record_ordinal").alias("doc_id"), "text_before", "fault")
 
 
 @_register("snapshot_roundtrip", f"WITH {_W} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM d) AS terms, (SELECT count(*) FROM p) AS postings, (SELECT sum(tf)::BIGINT FROM tf) AS total_tokens, (SELECT round(sum(weight * weight), 6) FROM p) AS squares")

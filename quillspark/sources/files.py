@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.errors import EngineError
-from quillspark.functions.text import file_stem, is_blank, strip_bom, unix_newlines
+from quillspark.functions.text import file_stem, first_invalid, is_blank, strip_bom, unix_newlines
 from quillspark.operators.order import sums_before
 from quillspark.schemas import READ_ITEMS
 from quillspark.sources.html import fragment_text
@@ -37,28 +37,35 @@ def raw_files(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def read_text(files: DataFrame) -> DataFrame:
-    """Read items of plain-text files (input_path, bytes): one document each. Invalid UTF-8 and NUL reject, white space alone is no text."""
+    """Read items of plain-text files (input_path, bytes): one document each. Invalid UTF-8 and NUL reject (the message is the byte's place), white space alone is no text."""
     text = F.expr("try_validate_utf8(cast(bytes as string))")
-    rows = files.select("input_path", text.alias("raw"))
+    rows = files.select("input_path", "bytes", text.alias("raw"))
     body = unix_newlines(strip_bom("raw"))
     bad = F.col("raw").isNull() | F.col("raw").contains("\0")
     status = F.when(bad, "rejected").when(is_blank(body), "no_text").otherwise("warning")
     code = F.when(F.col("raw").isNull(), "utf8").when(bad, "nul").when(status == "no_text", "no_text").otherwise("title_fallback")
     record = F.when(status == "warning", F.struct(file_stem("input_path").alias("title"), body.alias("content"), F.lit("txt").alias("kind"), *[F.lit(None).cast("string").alias(c) for c in ("url", "author", "published_at_raw")]))
-    issue = F.struct(code.alias("code"), F.lit("").alias("message"), F.lit("").alias("region"))
+    offset = F.coalesce(first_invalid(F.when(F.col("raw").isNull(), F.col("bytes"))), F.octet_length(F.substring_index("raw", "\0", 1)).cast("long"))
+    issue = F.struct(code.alias("code"), F.when(bad, offset.cast("string")).otherwise("").alias("message"), F.lit("").alias("region"))
     return rows.select("input_path", F.lit(0).cast("long").alias("record_ordinal"), status.alias("status"), record.alias("record"), F.array(issue).alias("issues"))
 
 
 class _Feed:
-    """Reads one feed strictly: no document type, one ``rss`` 2.0 with one channel; gathers each item's fields."""
+    """Reads one feed strictly: XML 1.0 in UTF-8, no document type, one ``rss`` 2.0 with one channel; gathers each item's fields.
 
-    def __init__(self, data: bytes):
+    At most ``depth`` levels and ``nodes`` elements, texts, comments and instructions.
+    """
+
+    def __init__(self, data: bytes, depth: int = 128, nodes: int = 1_000_000):
+        self.depth, self.nodes, self.seen = depth, nodes, 0
         self.items: list[dict] = []
         self.path: list[str] = []
         self.channels = 0
         parser = expat.ParserCreate(encoding="UTF-8", namespace_separator=" ")
         parser.buffer_text = True
+        parser.XmlDeclHandler = self._declaration
         parser.StartDoctypeDeclHandler = self._doctype
+        parser.CommentHandler = parser.ProcessingInstructionHandler = self._node
         parser.StartElementHandler = self._start
         parser.EndElementHandler = self._end
         parser.CharacterDataHandler = self._data
@@ -73,8 +80,22 @@ class _Feed:
     def _doctype(self, *_a) -> None:
         raise EngineError("rss.dtd", "document types are not read")
 
+    def _declaration(self, version: str, encoding: str | None, _standalone: int) -> None:
+        if version != "1.0":
+            raise EngineError("rss.declaration", "XML 1.0 only")
+        if encoding is not None and encoding.lower() != "utf-8":
+            raise EngineError("rss.declaration", "UTF-8 only")
+
+    def _node(self, *_a) -> None:
+        self.seen += 1
+        if self.seen > self.nodes:
+            raise EngineError("rss.nodes", "too many nodes")
+
     def _start(self, name: str, attrs: dict) -> None:
+        self._node()
         self.path.append(name)
+        if len(self.path) > self.depth:
+            raise EngineError("rss.depth", "too many levels")
         if len(self.path) == 1 and (name != "rss" or attrs.get("version") != "2.0"):
             raise EngineError("rss.structure", "not an RSS 2.0 feed")
         if self.path == ["rss", "channel"]:
@@ -95,6 +116,7 @@ class _Feed:
         self.path.pop()
 
     def _data(self, data: str) -> None:
+        self._node()
         if self.field is not None and len(self.path) == 4:
             self.items[-1]["fields"][self.field] += data
 

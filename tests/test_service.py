@@ -13,7 +13,7 @@ from quillspark.snapshot import open_snapshot, publish
 from quillspark.sources import files
 from quillspark.streaming import requests as R
 
-FEED = "<rss version='2.0'><channel><item><title>Kettle</title><description>A copper kettle rests on the bench.</description><link>http://k</link></item><item><title>x</title><description>&lt;p&gt;&lt;/p&gt;</description></item></channel></rss>"
+FEED = "<rss version='2.0'><channel><item><title>Orchard</title><description>The old orchard is on a hill.</description><link>http://k</link></item><item><title>x</title><description>&lt;p&gt;&lt;/p&gt;</description></item></channel></rss>"
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +21,7 @@ def corpus(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("corpus")
     (d / "txt").mkdir()
     (d / "rss").mkdir()
-    for name, body in (("empty", b""), ("river", "﻿A paper boat drifts by the river.\r\nThe lantern is green.\n".encode()), ("bench-copy", b"A copper kettle rests on the bench."), ("bad", b"\xff\xfe"), ("nul", b"a\0b")):
+    for name, body in (("empty", b""), ("pond", "﻿Nine geese cross a frozen pond.\r\nThe ferryman is asleep.\n".encode()), ("crest-copy", b"The old orchard is on a hill."), ("bad", b"\xff\xfe"), ("nul", b"a\0b")):
         (d / "txt" / f"{name}.txt").write_bytes(body)
     (d / "rss" / "a.xml").write_text(FEED)
     return files.read_text(files.raw_files(spark, str(d / "txt"), "txt")).unionByName(files.read_feeds(files.raw_files(spark, str(d / "rss"), "rss")))
@@ -41,9 +41,9 @@ def test_reading(corpus, built):
     assert {r["status"]: r["items"] for r in files.read_counts(corpus).collect()} == {"no_text": 2, "rejected": 2, "warning": 3}
     docs, told, _k, _i, _w = built
     rows = {r["title"]: r for r in docs.collect()}
-    assert rows["river"]["content"] == "A paper boat drifts by the river.\nThe lantern is green.\n" and rows["Kettle"]["url"] == "http://k"
-    # Ids follow the paths in byte order: the feed's two items, then bad, bench-copy, empty, nul, river.
-    assert {t: r["doc_id"] for t, r in rows.items()} == {"Kettle": 0, "bench-copy": 3, "river": 6}
+    assert rows["pond"]["content"] == "Nine geese cross a frozen pond.\nThe ferryman is asleep.\n" and rows["Orchard"]["url"] == "http://k"
+    # Ids follow the paths in byte order: the feed's two items, then bad, crest-copy, empty, nul, pond.
+    assert {t: r["doc_id"] for t, r in rows.items()} == {"Orchard": 0, "crest-copy": 3, "pond": 6}
     assert {r["doc_id"]: (r["disposition"], r["retained_id"]) for r in told.collect()} == {0: ("kept", None), 3: ("duplicate", 0), 6: ("kept", None)}
 
 
@@ -88,12 +88,12 @@ def test_service(spark, store):
     assert manager.publish() == "invalid_candidate"
     manager.load("v1")
     assert manager.publish() == "published" and manager.publish() == "unchanged"
-    status, body = service.execute("SEARCH", json.dumps({"query": "The LANTERN", "window": 20, "context": 5}))
+    status, body = service.execute("SEARCH", json.dumps({"query": "The FERRYMAN", "window": 20, "context": 5}))
     got = json.loads(body)
-    assert status == OK and [r["document_id"] for r in got["results"]] == ["6"] and got["terms"] == [{"term": "lantern", "tf": 1}]
-    assert "<mark>lantern</mark>" in got["results"][0]["summary"]["html"]
-    assert service.execute("SEARCH", json.dumps({"query": "The LANTERN", "window": 20, "context": 5}))[1] == body and service.cache.hits == 1
-    assert json.loads(service.execute("SUGGEST", '{"key": "lantrn", "top_k": 1}')[1])["results"][0]["term"] == "lantern"
+    assert status == OK and [r["document_id"] for r in got["results"]] == ["6"] and got["terms"] == [{"term": "ferryman", "tf": 1}]
+    assert "<mark>ferryman</mark>" in got["results"][0]["summary"]["html"]
+    assert service.execute("SEARCH", json.dumps({"query": "The FERRYMAN", "window": 20, "context": 5}))[1] == body and service.cache.hits == 1
+    assert json.loads(service.execute("SUGGEST", '{"key": "ferymann", "top_k": 1}')[1])["results"][0]["term"] == "ferryman"
     for command, bad in (("SEARCH", '{"query": "!!"}'), ("SEARCH", '{"query": "a", "query": "b"}'), ("SEARCH", "{}"), ("SEARCH", '{"query": "x", "top_k": 0}'), ("SEARCH", '{"query": "x", "z": 1}'), ("SUGGEST", '{"key": "a b"}'), ("SEARCH", '{"query": "x", "mode": "xor"}'), ("NONE", "{}")):
         assert service.execute(command, bad)[0] == INVALID_REQUEST, bad
     assert service.execute("SEARCH", '{"query": "x", "top_k": 101}')[0] == RESOURCE_LIMIT
@@ -124,7 +124,7 @@ def test_stream(spark, store, tmp_path):
     manager = SnapshotManager(spark, store)
     manager.load("v1")
     manager.publish()
-    rows = [(1, 0, i, "SEARCH" if i % 2 else "PING", '{"query": "kettle"}' if i % 2 else "{}") for i in range(5)]
+    rows = [(1, 0, i, "SEARCH" if i % 2 else "PING", '{"query": "orchard"}' if i % 2 else "{}") for i in range(5)]
     df = spark.createDataFrame(rows, "conn_id long, generation long, request_id long, kind string, body string").withColumn("ts", F.timestamp_seconds(F.col("request_id")))
     df.coalesce(1).write.json(str(tmp_path / "in"))
     stream = spark.readStream.schema(REQUESTS).json(str(tmp_path / "in"))
