@@ -101,6 +101,28 @@ def common_prefixes(order: np.ndarray, h: np.ndarray, text: np.ndarray) -> np.nd
     return out
 
 
+def maximal_intervals(lcp: list[int], differs: list[bool]) -> int:
+    """How many longest-common-prefix intervals of a run of suffixes are of substrings that can't be extended to the left either.
+
+    ``lcp`` are the prefixes of a run of neighbours that all share something, ``differs`` whether what stands before the two is different. An interval's
+    substring can be extended to the left only if the same stands before all of its suffixes.
+    """
+    found, open_ = 0, []  # intervals that are still open: their prefix, and whether anything differs
+    for value, mixed in zip([*lcp, 0], [*differs, False], strict=True):
+        while open_ and open_[-1][0] > value:
+            inner = open_.pop()[1]
+            found += inner
+            if open_ and open_[-1][0] >= value:
+                open_[-1][1] |= inner
+            else:
+                mixed |= inner
+        if open_ and open_[-1][0] == value:
+            open_[-1][1] |= mixed
+        elif value:
+            open_.append([value, mixed])
+    return found
+
+
 def _measure(chunk: Chunk, least: int) -> list[np.ndarray]:
     starts, stops, text = chunk.words()
     n, count = len(starts), chunk.count
@@ -147,11 +169,15 @@ def _measure(chunk: Chunk, least: int) -> list[np.ndarray]:
         flags = _covered(np.concatenate([order[hit - 1], order[hit]]), np.concatenate([lcp[hit], lcp[hit]]), len(sub))
         n_covered = per(sub_text[flags])
         np.maximum.at(longest, sub_text[order[hit]], lcp[hit])
-        # An interval begins where the prefix grows; it counts if what stands before its first two suffixes differs.
-        rise = hit[lcp[hit] > lcp[hit - 1]]
-        a, b = order[rise - 1], order[rise]
-        left = lambda x: np.where((x > 0) & (sub_text[x] == sub_text[x - 1]), sub[x - 1], x.astype(_U))
-        n_repeats = per(sub_text[b[left(a) != left(b)]])
+        # What stands before each suffix, and whether it differs from what stands before its neighbour; the start of a text differs from everything.
+        inner = (order > 0) & (sub_text[order] == sub_text[order - 1])
+        before = np.where(inner, sub[order - 1], _U(0))
+        differs = np.append(True, (before[1:] != before[:-1]) | ~inner[1:] | ~inner[:-1])
+        edges = np.append(np.flatnonzero(np.diff(hit) > 1) + 1, len(hit))
+        a = 0
+        for b in edges.tolist() if len(hit) else ():
+            n_repeats[sub_text[order[hit[a]]]] += maximal_intervals(lcp[hit[a:b]].tolist(), differs[hit[a:b]].tolist())
+            a = b
     return [n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered, longest, n_repeats]
 
 
@@ -159,8 +185,8 @@ def repetition_rules(docs: DataFrame, least: int = 10, covered: float = 0.5, lon
     """One row per row of ``docs`` (doc_id, text) with the measures and the verdict.
 
     doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed (fewer than 50 words, or more than half of
-    them in repeated runs of three), kept, n_covered_words, longest_repeat (words), n_repeats (maximal repeated substrings
-    begun in suffix order). A null text is an empty one: no words, so base_failed. Repeated rows give repeated results; other
+    them in repeated runs of three), kept, n_covered_words, longest_repeat (words), n_repeats (different maximal repeated
+    substrings of ``least`` words or more). A null text is an empty one: no words, so base_failed. Repeated rows give repeated results; other
     columns are not looked at; an empty table gives an empty result. Texts are read whole, of any length.
     Covered words lie in repeated runs of three, so ``covered`` decides nothing that base_failed doesn't unless it is below 0.5.
     """

@@ -40,6 +40,34 @@ def repeats(w, least):
     return longest, len(covered)
 
 
+def maximal(w, least):
+    """Different repeated runs of words that no repeat with as many places contains: extended by a word to either side, some place is lost."""
+    places = {}
+    for a in range(len(w)):
+        for b in range(a + least, len(w) + 1):
+            places.setdefault(tuple(w[a:b]), []).append(a)
+    found = 0
+    for run, at in places.items():
+        if len(at) > 1:
+            left = {w[a - 1] if a else None for a in at}
+            right = {w[a + len(run)] if a + len(run) < len(w) else None for a in at}
+            found += (len(left) > 1 or None in left) and (len(right) > 1 or None in right)
+    return found
+
+
+def test_maximal_repeats(spark):
+    """Counts of maximal repeated substrings, against all substrings; a text's empty table gives none."""
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice("abc"[: rng.randrange(1, 4)]) for _ in range(rng.randrange(0, 60))) for _ in range(40)]
+    texts += [" ".join(["p q r"] * 9), " ".join(f"w{k}" for k in range(30)), " ".join([f"w{k}" for k in range(15)] * 3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for least in (2, 5):
+        for r in repetition_rules(df, least=least).collect():
+            w = texts[r["doc_id"]].split()
+            assert r["n_repeats"] == maximal(w, least), (least, w)
+    assert repetition_rules(df.limit(0)).count() == 0
+
+
 def test_repetition(docs, rows):
     got = repetition_rules(docs).collect()
     assert len(got) == len(rows)

@@ -315,6 +315,17 @@ def test_preferences(spark):
     assert format_preferences(df.limit(0)).count() == 0
 
 
+def test_long_preferences(spark):
+    """Long turns, many turns, and other columns with the names of results."""
+    long_ = "tulip 😀 " * 30_000
+    rows = [(1, s, t, "user" if t % 2 == 0 else "assistant", long_ if t == 1 else f"turn {t}" + (s if t == 39 else "")) for s in ("chosen", "rejected") for t in range(40)]
+    df = spark.createDataFrame([(*r, "x", "y", 7) for r in rows], "pair_id long, side string, turn int, role string, text string, chosen string, prompt string, n_common int")
+    r = format_preferences(df).first()
+    head = len("<|im_start|>assistant\n")
+    assert r["n_common"] == 39 and long_ in r["prompt"] and r["chosen"] == "<|im_start|>assistant\nturn 39chosen<|im_end|>\n"
+    assert r["chosen_mask"] == f"{head}:{head + len('turn 39chosen<|im_end|>')}"
+
+
 def test_preference_pairs(spark):
     talk = [(1, 0, "user", "a"), (1, 1, "assistant", "r1"), (1, 2, "user", "b"), (2, 0, "user", "q"), (9, 0, "assistant", "r9"), (9, 0, "assistant", "zz"), (70, 3, "assistant", "r70"), (None, 0, "user", "n")]
     got = {(r["pair_id"], r["side"], r["turn"]): r["text"] for r in preference_pairs(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")).collect()}

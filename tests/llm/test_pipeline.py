@@ -1,12 +1,17 @@
 import re
 import zlib
+from collections import defaultdict
 
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline as P
 from llm_texts import prose
 from test_neardup import brute
 
+from quillspark.llm.mixing import mix_sources
+from quillspark.llm.packing import tokenizer_spec
+
 
 @pytest.fixture(scope="module")
 def sf_dir(spark, tmp_path_factory):
@@ -43,3 +48,36 @@ def test_stages(spark, sf_dir):
 def test_run(spark, sf_dir):
     got = P.run(spark, sf_dir)
     assert got.count() > 0 and [n for n, _ in P.STAGES] == ["quality", "near-dedup", "pii", "mixing", "packing"]
+
+
+def test_packed(spark, sf_dir):
+    """The last stage against the tokenizer: every piece of every document, in sequences without gaps."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    tok = Tokenizer.from_str(tokenizer_spec("word_bpe_49k.json"))
+    want = sorted((r["doc_id"], len(tok.encode(r["text"] or "", add_special_tokens=False).ids) + 1) for r in docs.collect())
+    got = P.packed(spark, docs, sf_dir).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in got) == want
+    places = defaultdict(list)
+    for r in got:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in places.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len(places) <= 1.1 * sum(n for _, n in want) / 4096 + 1
+
+
+def test_mixed(spark, sf_dir):
+    """The sample is the one that the operator's probabilities and draws give, and it leaves something out."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    told = {r["doc_id"]: r["probability"] for r in mix_sources(docs).collect()}
+    kept = {r["doc_id"] for r in P.mix(spark, docs, sf_dir).collect()}
+    assert {i for i, p in told.items() if p >= 1} <= kept < set(told) and min(told.values()) < 1
+
+
+def test_empty(spark, sf_dir, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0
