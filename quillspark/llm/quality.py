@@ -129,6 +129,8 @@ class Space:
 
     def vote(self, vectors: np.ndarray, sharp: float, neighbours: int, block: int = 2048) -> np.ndarray:
         """The weighted mean label of the nearest labelled vectors, by exact products block by block; ties go to the earlier one."""
+        if len(vectors) > 512:  # however short the texts of a chunk are, few products are held at a time
+            return np.concatenate([self.vote(vectors[a : a + 512], sharp, neighbours, block) for a in range(0, len(vectors), 512)])
         best = np.zeros((len(vectors), 0), np.float32)
         label = np.zeros((len(vectors), 0), np.float32)
         for a in range(0, len(self.vectors), block):
