@@ -6,12 +6,12 @@ from collections.abc import Iterator
 from xml.parsers import expat
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.errors import EngineError
-from quillspark.functions.text import file_stem, first_invalid, is_blank, strip_bom, unix_newlines
-from quillspark.operators.order import sums_before
+from quillspark.functions.text import escape_html, file_stem, first_invalid, is_blank, strip_bom, unix_newlines
+from quillspark.operators.order import number_in_order, sums_before
 from quillspark.schemas import READ_ITEMS
 from quillspark.sources.html import fragment_text
 
@@ -168,15 +168,36 @@ def feed_items(path: str, data: bytes) -> list[tuple]:
 
 
 def read_feeds(files: DataFrame) -> DataFrame:
-    """Read items of feeds (input_path, bytes)."""
+    """Read items of feeds (input_path, bytes); no bytes are an empty file."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [r for p, b in zip(batch["input_path"], batch["bytes"], strict=True) for r in feed_items(p, bytes(b))]
+            rows = [r for p, b in zip(batch["input_path"], batch["bytes"], strict=True) for r in feed_items(p, b"" if b is None else bytes(b))]
             yield pd.DataFrame(rows, columns=["input_path", "record_ordinal", "status", "record", "issues"])
 
     return files.select("input_path", "bytes").mapInPandas(run, READ_ITEMS)
 
 
+def xml_forbidden(c: Column) -> Column:
+    """Whether a string holds characters that XML 1.0 can't."""
+    return c.rlike("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\ufffe\uffff]")
+
+
+def feeds(pages: DataFrame, most: int = 1000) -> DataFrame:
+    """(feed, items, xml): RSS 2.0 feeds of pages (input_path, title, url, content) in order of their paths, ``most`` items each.
+
+    Texts are kept as they are: a reader of the feed gets the same content again. Pages without text, or with characters that XML can't hold, are left out.
+    """
+    text = F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("url", F.lit("")), "content")
+    good = pages.where(F.col("content").isNotNull() & ~is_blank("content") & ~xml_forbidden(text)).select("input_path", "title", "url", "content")
+    body = escape_html(F.concat(F.lit("<pre>"), escape_html("content"), F.lit("</pre>")))
+    link = F.when(F.coalesce("url", F.lit("")) != "", F.concat(F.lit("<link>"), escape_html("url"), F.lit("</link>"))).otherwise("")
+    item = F.concat(F.lit("<item><title>"), escape_html(F.coalesce("title", F.lit(""))), F.lit("</title>"), link, F.lit("<description>"), body, F.lit("</description></item>"))
+    placed = number_in_order(good.withColumn("item", item), "input_path", "at").withColumn("feed", F.floor(F.col("at") / most).cast("long"))
+    gathered = placed.groupBy("feed").agg(F.count("*").alias("items"), F.array_sort(F.collect_list(F.struct("at", "item"))).alias("rows"))
+    head, foot = '<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>pages</title>', "</channel></rss>"
+    return gathered.select("feed", "items", F.concat(F.lit(head), F.array_join(F.transform("rows", lambda r: r["item"]), ""), F.lit(foot)).alias("xml"))
+
+
 def read_counts(items: DataFrame) -> DataFrame:
     """(status, items)."""
     return items.groupBy("status").agg(F.count("*").alias("items"))
