@@ -3,13 +3,13 @@
 The base lexicon holds the terms whose document frequency lies between ``rare`` and ``common`` times the number of documents (a band of
 inverse document frequency). At most (mean number of distinct terms per document) / ``rare`` terms can reach the lower bound, so it
 doesn't grow with the corpus; it is broadcast only if it has at most ``held`` terms. Randomised lexicons are fixed subsets of
-it, the same for every document: ``FAMILIES`` independent ones for each of ``DEPTHS`` densities, of which one keeps a half of the terms,
-the next a quarter, and so on. A term's hash alone says which ones it is in: in family f with density 2**-d if the d lowest bits of the hash's
-byte f are zero.
+it, the same for every document: ``FAMILIES`` independent ones for each density 2**-d, d in ``DEPTHS``. A term's hash alone says which ones
+it is in: a family has sixteen bits of a hash of it, and keeps it at density 2**-d if the d lowest of them are zero.
 
 A document's fingerprint has one value for each lexicon and one for the whole band: its distinct terms that the lexicon holds, sorted, are hashed as
-one. Dense lexicons tell small edits apart, sparse ones agree after large edits; long and short texts are treated alike. Likeness of two
-fingerprints: of the lexicons in which either has a term, the share whose hashes agree.
+one. Dense lexicons tell small edits apart, sparse ones agree after large edits, and which ones do so depends on how many terms a document
+has. So the likeness of two fingerprints is that of the density at which they agree most: of its lexicons in which either has a term, the share whose
+hashes agree, if that is a quarter of its lexicons at least.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql.window import Window
 from quillspark.llm._order import Blocks, next_blocks
 from quillspark.llm._space import Space
 
-FAMILIES = 8
-DEPTHS = 7
+FAMILIES = 16
+DEPTHS = range(2, 11)
 
 
 def _terms(text: Column) -> Column:
@@ -42,9 +42,10 @@ def fingerprint(terms: str) -> Column:
 
     The lexicons of a family are nested, so each is filtered from the one before.
     """
-    hashed = "transform(array(filter(s.left, h -> (shiftright(h, 8 * f) & (shiftleft(1L, d) - 1)) = 0)), l -> named_struct('left', l, 'out', concat(s.out, array(if(size(l) = 0, 0, hash(l))))))[0]"
-    family = f"aggregate(sequence(1, {DEPTHS}), named_struct('left', {terms}, 'out', cast(array() as array<int>)), (s, d) -> {hashed}, s -> s.out)"
-    return F.expr(f"concat(array(hash({terms})), flatten(transform(sequence(0, {FAMILIES - 1}), f -> {family})))")
+    hashed = "transform(array(filter(s.left, h -> (shiftright(h, 16 * f) & (shiftleft(1L, d) - 1)) = 0)), l -> named_struct('left', l, 'out', concat(s.out, array(if(size(l) = 0, 0, hash(l))))))[0]"
+    family = f"aggregate(sequence({DEPTHS[0]}, {DEPTHS[-1]}), named_struct('left', own, 'out', cast(array() as array<int>)), (s, d) -> {hashed}, s -> s.out)"
+    four = f"transform(array(transform({terms}, h -> xxhash64(h, g))), own -> flatten(transform(sequence(0, 3), f -> {family})))[0]"
+    return F.expr(f"concat(array(hash({terms})), flatten(transform(sequence(0, {FAMILIES // 4 - 1}), g -> {four})))")
 
 
 def as_text(fp: str) -> Column:
@@ -54,8 +55,10 @@ def as_text(fp: str) -> Column:
 
 def likeness(a: str, b: str) -> Column:
     """Likeness of two fingerprints, 0 to 1."""
-    met = f"filter(zip_with({a}, {b}, (p, q) -> named_struct('p', p, 'q', q)), x -> x.p <> 0 or x.q <> 0)"
-    return F.expr(f"transform(array({met}), m -> if(size(m) = 0, 1D, size(filter(m, x -> x.p = x.q)) / size(m)))[0]").cast("double")
+    n = len(DEPTHS)
+    met = f"zip_with({a}, {b}, (p, q) -> if(p = 0 and q = 0, null, p = q))"
+    share = f"transform(array(filter(m, (x, i) -> i > 0 and (i - 1) % {n} = d and x is not null)), o -> if(size(o) * 4 < {FAMILIES}, 0D, size(filter(o, x -> x)) / size(o)))[0]"
+    return F.expr(f"case when {a} = {b} then 1D else transform(array({met}), m -> array_max(transform(sequence(0, {n - 1}), d -> {share})))[0] end").cast("double")
 
 
 def edited_fingerprints(docs: DataFrame, rare: float = 0.001, common: float = 0.1, held: int = 1_000_000) -> DataFrame:

@@ -33,21 +33,23 @@ def test_imatch(spark, docs, rows, none):
     got = edited_fingerprints(docs, rare=rare, common=common).collect()
     order = sorted(rows, key=lambda r: (r[0], r[1] or ""))
     band, terms = lexicons(rows, rare, common)
-    number = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in band], "w string").selectExpr("w", "xxhash64(w) as h").collect()}
+    rows_of = spark.createDataFrame([(w,) for w in band], "w string").selectExpr("w", "xxhash64(w) as h", "transform(sequence(0, 3), g -> xxhash64(xxhash64(w), g)) as own").collect()
+    number, own = {r["w"]: r["h"] for r in rows_of}, {r["h"]: r["own"] for r in rows_of}
 
     def kept(text):
-        """The terms that each lexicon keeps of a text, or the text itself if the band has none of its terms."""
-        h = sorted(number[w] for w in terms(text)) or ["text " + text]
-        if isinstance(h[0], str):
-            return None
-        return [tuple(h)] + [tuple(x for x in h if not (x >> 8 * f) & (2**d - 1)) for f in range(8) for d in range(1, 8)]
+        """The terms that each lexicon keeps of a text, the whole band first; none if the band has none of its terms."""
+        h = sorted(number[w] for w in terms(text))
+        return [tuple(h)] + [tuple(x for x in h if not (own[x][f // 4] >> 16 * (f % 4)) & (2**d - 1)) for f in range(16) for d in range(2, 11)] if h else None
 
     def like(a, b):
         x, y = kept(a), kept(b)
         if x is None or y is None:
             return 1.0 if a == b else None
-        met = [(p, q) for p, q in zip(x, y, strict=True) if p or q]
-        return sum(p == q for p, q in met) / len(met)
+        best = 0.0
+        for d in range(9):
+            met = [(p, q) for p, q in zip(x[1 + d :: 9], y[1 + d :: 9], strict=True) if p or q]
+            best = max(best, sum(p == q for p, q in met) / len(met) if len(met) >= 4 else 0.0)
+        return 1.0 if x == y else best
 
     want = []
     for k, (i, t) in enumerate(order):
