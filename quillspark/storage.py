@@ -17,7 +17,7 @@ def shared_folder(spark: SparkSession) -> str:
         return found.rstrip("/")
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not sc.master.startswith("local["):
+        if sc.master.startswith("local-cluster") or not sc.master.startswith("local"):
             raise EngineError("storage.folder", "spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
     return sc._jsc.sc().getCheckpointDir().get()
