@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -46,6 +48,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow, _inv
 
 
+def free_memory() -> None:
+    """Gives back what the allocators of a Python worker hold but don't use; workers outlive their tasks, and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Chunk:
     """Some consecutive texts of a batch: their bytes end to end, and where each begins and ends."""
 

@@ -27,11 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Bounds the Arrow batches that go to Python workers, whose texts would else be held many thousand at a time, by the JVM and by the worker; smaller settings stay."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(name).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
 class Space:
     """A folder of its own for one run of one operator."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark).rstrip('/')}/quillspark/{label}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:

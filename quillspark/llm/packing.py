@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillspark.llm._bytes import chunks
+from quillspark.llm._bytes import chunks, free_memory
 from quillspark.llm._space import Space
 
 _PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "row_key"))])
@@ -112,7 +112,7 @@ class WordEncoder:
     #: A space, a word that was encoded whole (its number between two marks), or a pre-token.
     PARTS = re.compile(" |\ue000[0-9]+\ue001|'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^ a-z0-9\u00df-\u00f6\u00f8-\u00ff\ue000\ue001]+")
 
-    def __init__(self, spec: str, held: int = 400_000):
+    def __init__(self, spec: str, held: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(spec)
@@ -197,6 +197,7 @@ def _cutter(spec: str, size: int, end_id: int):
                         piece = full[s : s + size]
                         rows.append((ids[chunk.first + k], p, s, len(piece), zlib.crc32(piece.astype("<u4").tobytes()), chunk.first + k))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=_PIECES.names)
+        free_memory()
     return run
 
 
@@ -407,7 +408,7 @@ def _placer(places: list[tuple[int, int, int, int, int]]):
     return run
 
 
-def pack(docs: DataFrame, spec: str, size: int = 4096, end_id: int = 1, rows: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, spec: str, size: int = 4096, end_id: int = 1, rows: int = 1000) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     ``spec`` is the text of a tokenizer file (``tokenizers`` library). Each text's ids are followed by ``end_id``.
@@ -423,10 +424,10 @@ def pack(docs: DataFrame, spec: str, size: int = 4096, end_id: int = 1, rows: in
     histogram.pop(size, None)
     if not histogram:
         return full
-    # Rank of each piece among those of its length: its rank in its block, after all earlier blocks. A length that very many
-    # pieces share has many blocks.
-    blocks = max(1, max(histogram.values()) // rows)
-    blk = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "row_key"), F.lit(blocks)).cast("int")
+    # Rank of each piece among those of its length: its rank in its block, after all earlier blocks. A length has as many blocks as it
+    # needs pieces' places, so that one that very many share is dealt to many tasks.
+    blocks = F.get(F.from_json(F.lit(json.dumps([max(1, histogram.get(n, 0) // rows) for n in range(size)])), "array<bigint>"), F.col("length").cast("int"))
+    blk = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "row_key"), blocks)
     rest = pieces.where(F.col("length") < size).withColumn("blk", blk)
     counts = rest.groupBy("length", "blk").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm._bytes import Chunk, _powers, chunks, mix
+from quillspark.llm._space import small_batches
 
 _U = np.uint64
 #: Character classes: space, lower, upper, digit, sentence mark, symbol, beyond ASCII.
@@ -165,6 +166,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, most: int = 6000, rank:
     names; other columns stay. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("held_out", "score", "predicted")])
     crc = lambda c: F.crc32(F.col(c).cast("long").cast("string"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality is not null").where(crc("doc_id") % 5 != 0)

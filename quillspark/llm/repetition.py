@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm._bytes import LEAD, SPACE, Chunk, _powers, chunks, mix
+from quillspark.llm._space import small_batches
 
 _U = np.uint64
 _SYMBOL = np.zeros(256, bool)
@@ -198,4 +199,5 @@ def repetition_rules(docs: DataFrame, least: int = 10, covered: float = 0.5, lon
                 kept = ~failed & (cov <= covered * n) & (long_ <= longest)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.count), *map(pa.array, (n, chars, symbols, lines, repeat, failed, kept, cov, long_, many))], names=_OUT.names)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _OUT)
