@@ -11,8 +11,9 @@
    crowded and not joined in the last forest too is compared whole, block by block. So no link is lost because a region is crowded.
    The connected components of all joins are *families*: supersets of the true groups.
 3. *Confirmation.* Similarities are computed on full sets. The texts of a family with at most ``block`` shingles meet in one task. A larger family is
-   confirmed region by region instead, first in two trees, then in the regions of the other trees that still hold different groups. A region of more than
-   ``block`` shingles is cut into blocks, and each pair of blocks is a task; a region's members are bounded, and so are its blocks.
+   confirmed region by region instead, first in two trees, then in the regions of the other trees that still hold different groups. That its members have
+   been joined by estimates says nothing there: its crowded regions that hold different groups go through the deeper forests too, and are compared whole
+   after the last. A region of more than ``block`` shingles is cut into blocks, and each pair of blocks is a task.
 
 A link of similarity s is missed if no tree shows it: (1 - s**base)**trees. That is 5e-7 at 0.85 and 3e-5 at 0.8 in the first forest, less than
 1e-5 in the second and 2e-5 in the third.
@@ -239,14 +240,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
 
     # The forests. In the first one, some trees join most of what belongs together; the others then only look at regions where different families
     # meet. Every frame of joins is read from the shared folder.
-    families, sketches = None, []
+    families = None
     for level, (n_trees, depth) in enumerate(((trees, base), *deeper)):
         if level:
             met = texts.join(flagged.select("doc_id").distinct(), "doc_id", "left_semi")
             found = space.save(met.mapInArrow(_sketcher(words, n_trees, depth, 7 + level), _SKETCH).where("digest is not null").select("doc_id", "sig", "keys", "tails"), f"sketch-{level}")
         else:
             found = reps.select("doc_id", "sig", "keys", "tails")
-        sketches.append(found)
         values, t = min(VALUES, n_trees * (depth + MORE)), percent / 100
         least = max(1, math.floor(values * t - 5.5 * math.sqrt(values * t * (1 - t))))
         hots = []
@@ -288,24 +288,39 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
         return space.save(work.repartition("task").sortWithinPartitions("task").select("task", "doc_id", "text").mapInArrow(_confirmer(words, percent), "a long, b long"), f"{name}-links")
 
     small = sized.where(F.col("total") <= block).select("doc_id", "n", F.xxhash64(F.lit(0), "component").alias("key"), "total")
-    large = sized.where(F.col("total") > block).select("doc_id", "n")
-    if large.isEmpty():
-        links = confirmed(small, "small")
-    else:
-        # All regions of the large families' members, whatever they have been joined by.
-        regions = flagged.select("doc_id", "key", F.lit(True).alias("first"))
-        for level, found in enumerate(sketches):
-            own, _ = _regions(space, found.join(large, "doc_id").withColumn("component", F.col("doc_id")), region, f"large-{level}")
-            regions = regions.union(own.select("doc_id", "key", F.lit(level == 0) & (F.col("tree") < 2)))
-        each = space.save(regions.join(large, "doc_id"), "large")
-        weighed = each.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("m")).where("m > 1").drop("m")
-        each = space.save(_salted(each, weighed, "key"), "large-regions").select("doc_id", "n", "key", "total", "first")
-        links = confirmed(small.union(each.where("first").drop("first")), "first")
-        so_far = connected_components(spark, links, space, "cc-first").select(F.col("node").alias("doc_id"), "component")
-        rest = each.where("not first").join(space.save(so_far, "so-far"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        rest = space.save(rest, "rest")
-        mixed = rest.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-        links = links.union(confirmed(_salted(rest, mixed, "key").select("doc_id", "n", "key", "total"), "rest"))
+    large = sized.where(F.col("total") > block).select("doc_id", "n", F.col("component").alias("family"))
+    links = confirmed(small, "small")
+    if not large.isEmpty():
+        large = space.save(large, "large")
+
+        def weighed(rows: DataFrame, name: str) -> DataFrame:
+            each = space.save(rows.select("doc_id", "key").join(large.select("doc_id", "n"), "doc_id"), name)
+            return _salted(each, each.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("m")).where("m > 1").drop("m"), "key")
+
+        # The forests once more, each family on its own and by what has been confirmed so far, whatever the estimates have joined: crowded regions
+        # whose members aren't all linked go on to the next forest, and are compared whole after the last.
+        own_keys = F.transform("keys", lambda k: F.xxhash64(k, F.col("family")))
+        so_far = None
+        for level, (n_trees, depth) in enumerate(((trees, base), *deeper)):
+            if level:
+                met = texts.join(flagged.select("doc_id").distinct(), "doc_id", "left_semi")
+                found = met.mapInArrow(_sketcher(words, n_trees, depth, 7 + level), _SKETCH).where("digest is not null").select("doc_id", "keys", "tails")
+            else:
+                found = reps.select("doc_id", "keys", "tails")
+            found = space.save(found.join(large, "doc_id").select("doc_id", own_keys.alias("keys"), "tails"), f"large-sketch-{level}")
+            hots = []
+            for part in ((0, n_trees),) if level or n_trees <= 2 else ((0, 2), (2, n_trees)):
+                name = f"large-{level}-{part[0]}"
+                known = found.withColumn("component", F.col("doc_id")) if so_far is None else found.join(so_far.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+                own, hot = _regions(space, known, region, name, part)
+                hots.append(hot)
+                links = links.union(confirmed(weighed(own, f"{name}-members"), name))
+                so_far = space.save(connected_components(spark, links, space, f"cc-{name}"), f"so-far-{name}")
+            flagged = _crowded(space, functools.reduce(DataFrame.union, hots), so_far, f"large-crowded-{level}")
+            if flagged.isEmpty():
+                break
+        if not flagged.isEmpty():
+            links = links.union(confirmed(weighed(flagged, "large-all-members"), "large-all"))
     whole = connected_components(spark, links, space, "cc")
 
     found = classes.join(whole.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))

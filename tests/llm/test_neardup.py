@@ -120,3 +120,21 @@ def test_estimates(spark):
         s = len(x & y) / len(x | y)
         off.append(((sig[0] == sig[1]).mean() - s - (1 - s) / 256) / np.sqrt(s * (1 - s) / len(sig[0])))
     assert abs(np.mean(off)) < 0.5 and 0.7 < np.std(off) < 1.3
+
+
+def test_no_link_is_lost_in_a_large_family(spark):
+    """Texts that share four fifths of their shingles are one family by estimates, which is too large for one task; its regions are crowded. All links are found."""
+    rng = random.Random(22)
+    page = prose(rng, 100)
+    rows = []
+    for i in range(0, 500, 2):
+        words = (page + " " + prose(rng, 9) + f" own{i}").split()
+        rows.append((i, " ".join(words)))
+        for k in rng.sample(range(2, 100, 3), 2):
+            words[k] = f"edit{i}"
+        rows.append((i + 1, " ".join(words)))
+    rng.shuffle(rows)
+    rows = [(k, text) for k, (_i, text) in enumerate(rows)]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, region=10, block=3000, deeper=()).collect()}
+    assert got == {i: c for i, (_n, c) in brute(rows, 3, 85).items()}
+    assert len(set(got.values())) > 150
