@@ -178,3 +178,28 @@ def test_chinese(spark):
     never = "-3.14e100"
     model = [f"-0.2 {never} {never} -1.5", f"{never} -0.1 -2 {never}", f"-0.5 {never} {never} -0.7", f"{never} -0.3 -1.2 {never}", f"-0.6 {never} {never} -0.6", "小:-1", "明:-1", "中:-1", "的:-1"]
     assert Segmenter(["大 1 a"], [], model).cut("小明的") == ["小明", "的"]
+
+
+@pytest.mark.parametrize("block", [40, 1_000_000])
+def test_many_queries_go_through_the_documents(spark, monkeypatch, block):
+    """A batch too large to be broadcast has the same hits and ranks, copies' ties included, and no row for a pair of a query's and a document's term is dealt out."""
+    rng = random.Random(6)
+    words = "the of and river lantern boat copper kettle gate paper green road".split()
+    texts = [" ".join(rng.choices(words, k=rng.randrange(0, 9))) for _ in range(80)]
+    rows = [(i, t) for i, t in enumerate(texts + texts[:40])]
+    queries = spark.createDataFrame([(i, t + " nobody" * (i % 7 == 0)) for i, t in rows[::3]], "query_id long, text string")
+    made = index.build_index(spark.createDataFrame(rows, "doc_id long, content string"))
+    found = {}
+    for many in (False, True):
+        if many:
+            monkeypatch.setattr(search, "BROADCAST_ROWS", 0)
+            monkeypatch.setattr(search, "BLOCK_ROWS", block)
+        for mode in ("or", "and"):
+            known = search.known_terms(search.query_terms(queries), made.lexicon)
+            assert known.small != many
+            pairs = search.candidates(known, made.postings, mode)
+            best = search.search(made, queries, mode, 4, digits=9)
+            found[many, mode] = sorted(map(tuple, pairs.collect())), sorted(map(tuple, best.collect()))
+            assert not many or "hashpartitioning(query_id" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert found[True, "or"] == found[False, "or"] and found[True, "and"] == found[False, "and"]
+    assert all(len(x) > 40 for f in found.values() for x in f)
