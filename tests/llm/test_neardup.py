@@ -138,3 +138,12 @@ def test_no_link_is_lost_in_a_large_family(spark):
     got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, region=10, block=3000, deeper=()).collect()}
     assert got == {i: c for i, (_n, c) in brute(rows, 3, 85).items()}
     assert len(set(got.values())) > 150
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_few_edges(spark, monkeypatch, few):
+    """Few edges are joined on the driver, many by steps of jobs; components are the same."""
+    monkeypatch.setattr("quillspark.llm._graph.FEW", few)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 50), (60, 61), (61, 60), (70, 3)], "a long, b long")
+    got = {r["node"]: r["component"] for r in connected_components(spark, edges, Space(spark, "t"), f"few{few}").collect()}
+    assert got == {i: 0 for i in range(21)} | {50: 50, 60: 60, 61: 60, 70: 0}
