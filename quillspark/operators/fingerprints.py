@@ -108,10 +108,10 @@ def near_pairs(fingerprints: DataFrame, distance: int = 3) -> DataFrame:
     d = hamming(F.col("x.simhash"), F.col("y.simhash"))
     diff = F.col("x.simhash").bitwiseXOR(F.col("y.simhash"))
     first = F.coalesce(*[F.when(diff.bitwiseAND(F.lit(m)) == 0, F.lit(k)) for k, m in enumerate(masks)])
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.ordinal") < F.col("y.ordinal")) & (d <= distance))
+    met = x.join(y.hint("merge"), (F.col("x.band") == F.col("y.band")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.ordinal") < F.col("y.ordinal")) & (d <= distance))
     if distance == 64:  # every pair is near, whether or not it shares a block
         x, y = (fingerprints.where("simhash is not null").alias(n) for n in "xy")
-        return x.join(y, F.col("x.ordinal") < F.col("y.ordinal")).select(F.col("x.ordinal").alias("a"), F.col("y.ordinal").alias("b"), d.alias("distance"))
+        return x.join(y.hint("shuffle_replicate_nl"), F.col("x.ordinal") < F.col("y.ordinal")).select(F.col("x.ordinal").alias("a"), F.col("y.ordinal").alias("b"), d.alias("distance"))
     return met.where(F.col("x.band") == first).select(F.col("x.ordinal").alias("a"), F.col("y.ordinal").alias("b"), d.alias("distance"))
 
 
@@ -122,6 +122,9 @@ def duplicates(candidates: DataFrame, distance: int = 3) -> DataFrame:
     fingerprint it is 'no_features'. Equal fingerprints are decided once, by their first document: the others are duplicates of whatever decides it. The order
     is resolved in rounds: a fingerprint is kept once all its earlier neighbours are out, and out once one of them is kept. ``comparisons`` is how many kept
     documents a scan in that order looks at: all before it for a kept one, up to the one that decides for a duplicate.
+
+    Tables that grow with the documents are merged, never broadcast: by the size of their compressed files they would seem small, and the driver would hold them.
+    Rounds only see the fingerprints with earlier neighbours.
     """
     spark: SparkSession = candidates.sparkSession
     candidates = written(spark, candidates)
@@ -129,18 +132,22 @@ def duplicates(candidates: DataFrame, distance: int = 3) -> DataFrame:
     heads = ranked.where("simhash is not null").groupBy("simhash").agg(F.min("place").alias("place"))
     heads = written(spark, number_in_order(heads, "place", "ordinal"))
     edges = written(spark, near_pairs(heads.select("ordinal", "simhash"), distance))
-    state = heads.select("ordinal", F.lit(None).cast("boolean").alias("kept"))
+    # Without an earlier neighbour a fingerprint is kept; state holds the others.
+    state = edges.select(F.col("b").alias("ordinal"), F.lit(None).cast("boolean").alias("kept")).distinct()
     while True:
-        seen = edges.join(state.select(F.col("ordinal").alias("a"), "kept"), "a").groupBy(F.col("b").alias("ordinal")).agg(F.bool_or("kept").alias("beaten"), F.bool_or(F.col("kept").isNull()).alias("waits"))
-        state = written(spark, state.join(seen, "ordinal", "left").select("ordinal", F.coalesce("kept", F.when(F.coalesce("beaten", F.lit(False)), False).when(~F.coalesce("waits", F.lit(False)), True)).alias("kept")))
+        told = state.select(F.col("ordinal").alias("a"), "kept", F.lit(True).alias("late")).hint("merge")
+        met = edges.join(told, "a", "left").select("b", F.when(F.col("late"), F.col("kept")).otherwise(True).alias("kept"))
+        seen = met.groupBy(F.col("b").alias("ordinal")).agg(F.bool_or("kept").alias("beaten"), F.bool_or(F.col("kept").isNull()).alias("waits"))
+        state = written(spark, seen.select("ordinal", F.when(F.coalesce("beaten", F.lit(False)), False).when(~F.col("waits"), True).alias("kept")))
         if state.where("kept is null").isEmpty():
             break
+    state = heads.join(state.hint("merge"), "ordinal", "left").withColumn("kept", F.coalesce("kept", F.lit(True)))
     kept = written(spark, number_in_order(state.where("kept").select("ordinal"), "ordinal", "before"))
-    by = edges.join(kept.select(F.col("ordinal").alias("a")), "a").groupBy(F.col("b").alias("ordinal")).agg(F.min(F.struct("a", "distance")).alias("by"))
-    told = heads.join(state, "ordinal").join(by, "ordinal", "left").select("ordinal", "simhash", "place", "kept", F.col("by.a").alias("a"), F.col("by.distance").alias("d"))
-    owner = heads.select(F.col("ordinal").alias("a"), F.col("place.doc_id").alias("owner")).join(kept.select(F.col("ordinal").alias("a"), F.col("before").alias("owner_before")), "a")
-    told = told.join(owner, "a", "left").join(kept, "ordinal", "left").select("simhash", F.col("place").alias("head"), "kept", "owner", "d", "before", "owner_before")
-    out = ranked.join(told, "simhash", "left")
+    by = edges.join(kept.select(F.col("ordinal").alias("a")).hint("merge"), "a").groupBy(F.col("b").alias("ordinal")).agg(F.min(F.struct("a", "distance")).alias("by"))
+    told = state.join(by.hint("merge"), "ordinal", "left").select("ordinal", "simhash", "place", "kept", F.col("by.a").alias("a"), F.col("by.distance").alias("d"))
+    owner = heads.select(F.col("ordinal").alias("a"), F.col("place.doc_id").alias("owner")).join(kept.select(F.col("ordinal").alias("a"), F.col("before").alias("owner_before")).hint("merge"), "a")
+    told = told.join(owner.hint("merge"), "a", "left").join(kept.hint("merge"), "ordinal", "left").select("simhash", F.col("place").alias("head"), "kept", "owner", "d", "before", "owner_before")
+    out = ranked.join(told.hint("merge"), "simhash", "left")
     first = F.col("place") == F.col("head")
     return out.select(
         "doc_id", "input_path", "record_ordinal",

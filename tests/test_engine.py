@@ -167,6 +167,15 @@ def test_duplicates(spark, distance):
     assert {r["doc_id"]: (r["disposition"], r["retained_id"], r["distance"]) for r in got} == want
 
 
+def test_duplicates_without_broadcast(spark):
+    """Tables that grow with the documents don't pass through the driver, however small their files are."""
+    rows = [(i, "p", i, (i * 0x9E3779B97F4A7C15 % (1 << 63)) ^ (i % 3)) for i in range(40)] + [(40 + i, "q", i, 7 ^ (1 << i)) for i in range(6)]
+    frame = spark.createDataFrame(rows, "doc_id long, input_path string, record_ordinal long, simhash long")
+    for made in (fingerprints.duplicates(frame), fingerprints.near_pairs(frame.select(F.col("doc_id").alias("ordinal"), "simhash"))):
+        made.collect()
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_chinese(spark):
     cut = Segmenter(["纸船 10 n", "河边 10 n", "停 5 v", "在 9 p", "闸门 4 n", "旁 3 f", "灯笼 8 n"], ["绿色"])
     assert cut.tokens("纸船停在河边闸门旁。Green 绿色灯笼xyz") == ["纸船", "停", "在", "河边", "闸门", "旁", "Green", "绿色", "灯笼", "xyz"]
