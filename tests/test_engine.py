@@ -167,6 +167,12 @@ def test_duplicates(spark, distance):
     assert {r["doc_id"]: (r["disposition"], r["retained_id"], r["distance"]) for r in got} == want
 
 
+def test_statistics_in_place(spark):
+    docs = spark.createDataFrame([(1, "a b A"), (2, ""), (3, None), (4, "!? c")], "doc_id long, content string")
+    got = index.statistics_in_place(terms.tokens(docs))
+    assert set(map(tuple, got.collect())) == set(map(tuple, index.document_statistics(docs, terms.term_frequency(docs)).collect())) == {(1, 3, 2), (2, 0, 0), (3, 0, 0), (4, 1, 1)}
+
+
 def test_suggest_many_keys(spark, monkeypatch):
     """Many keys meet the terms in cells, without a join that makes a row for each pair; rows equal a plain loop's."""
     rng = random.Random(5)
